@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Unicode blanks, written as a regular-expression class.
 BLANKS = (
@@ -45,7 +46,7 @@ def title_case(col: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_wide(values: pd.Series) -> pd.Series:
     folded = values.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
     return folded.where(values.notna(), None)

@@ -90,8 +90,8 @@ def with_bucket(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
     """
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = df.agg(F.percentile_approx(order, shares, F.lit(1000)).alias("edges")).scalar()
-    place = F.size(F.filter(F.coalesce(edges, F.array().cast("array<double>")), lambda e: e < F.col(order)))
-    return df.withColumn("bucket__", place)
+    place = F.size(F.filter(F.coalesce("edges__", F.array().cast("array<double>")), lambda e: e < F.col(order)))
+    return df.withColumn("edges__", edges).withColumn("bucket__", place).drop("edges__")
 
 
 def bucket_totals(bucketed: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:

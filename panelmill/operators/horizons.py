@@ -102,25 +102,31 @@ def origin_state(df: DataFrame, keys: list[str] | None = None, target: str = TAR
     )
 
 
-def recursive_forecast(state: DataFrame, predictor: Predictor, steps: int = max(HORIZONS)) -> DataFrame:
-    """Adds `forecasts`: one (horizonte, fecha_objetivo, y_pred) per step, each step fed to the next."""
+def recursive_forecast(state: DataFrame, predictors: dict[str, Predictor], steps: int = max(HORIZONS)) -> DataFrame:
+    """Adds `forecasts`: a (model, horizonte, fecha_objetivo, y_pred) entry per predictor and step.
+
+    Each step's prediction is appended to the history the next step sees.
+    """
     known = [f.name for f in state.schema["last_known"].dataType.fields if f.name != "none__"]
-    current = state.withColumn("h__", F.col("history"))
-    for step in range(1, steps + 1):
-        date = F.add_months("history_date", step)
-        features = future_features("last_known", known, F.col("h__"), date)
-        current = current.withColumn(f"p__{step}", predictor(features)).withColumn(
-            "h__", F.concat("h__", F.array(F.col(f"p__{step}")))
-        )
-    entries = [
-        F.struct(
-            F.lit(s).alias("horizonte"),
-            F.add_months("history_date", s).alias("fecha_objetivo"),
-            F.col(f"p__{s}").alias("y_pred"),
-        )
-        for s in range(1, steps + 1)
-    ]
-    return current.withColumn("forecasts", F.array(*entries)).drop("h__", *[f"p__{s}" for s in range(1, steps + 1)])
+    current, entries = state, []
+    for i, (name, predictor) in enumerate(predictors.items()):
+        history = F.col("history")
+        for step in range(1, steps + 1):
+            date = F.add_months("history_date", step)
+            made = f"p__{i}_{step}"
+            features = future_features("last_known", known, history, date)
+            current = current.withColumn(made, predictor(features))
+            history = F.concat("history", F.array(*[F.col(f"p__{i}_{s}") for s in range(1, step + 1)]))
+            entries.append(
+                F.struct(
+                    F.lit(name).alias("model"),
+                    F.lit(step).alias("horizonte"),
+                    date.alias("fecha_objetivo"),
+                    F.col(made).alias("y_pred"),
+                )
+            )
+    made = [f"p__{i}_{s}" for i in range(len(predictors)) for s in range(1, steps + 1)]
+    return current.withColumn("forecasts", F.array(*entries)).drop(*made)
 
 
 def explode_forecasts(forecasts: DataFrame, keep: list[str]) -> DataFrame:
@@ -130,22 +136,22 @@ def explode_forecasts(forecasts: DataFrame, keep: list[str]) -> DataFrame:
     return (
         rows.withColumn("actual", F.try_element_at(match, F.lit(1)))
         .where("actual is not null")
-        .select(*keep, "horizonte", "fecha_objetivo", F.col("actual.y").alias("y_true"), "y_pred")
+        .select(*keep, "model", "horizonte", "fecha_objetivo", F.col("actual.y").alias("y_true"), "y_pred")
     )
 
 
 def rolling_origin_forecasts(
-    split: DataFrame, predictor: Predictor, keys: list[str] | None = None, steps: int = max(HORIZONS)
+    split: DataFrame, predictors: dict[str, Predictor], keys: list[str] | None = None, steps: int = max(HORIZONS)
 ) -> DataFrame:
     """Forecasts from every test date, using only rows before it."""
     keys = ENTITY if keys is None else keys
     origins = origin_state(split, keys, ahead=steps).where("split = 'test' and history_date is not null")
-    made = recursive_forecast(origins.withColumnRenamed("fecha", "fecha_origen"), predictor, steps)
+    made = recursive_forecast(origins.withColumnRenamed("fecha", "fecha_origen"), predictors, steps)
     return explode_forecasts(made, [*keys, "fecha_origen"])
 
 
 def operational_forecasts(
-    train: DataFrame, bounds: DataFrame, predictor: Predictor, keys: list[str] | None = None,
+    train: DataFrame, bounds: DataFrame, predictors: dict[str, Predictor], keys: list[str] | None = None,
     group: list[str] | None = None, steps: int = max(HORIZONS),
 ) -> DataFrame:
     """Forecasts of each entity from the end of its product's last training fold."""
@@ -157,5 +163,5 @@ def operational_forecasts(
     state = origin_state(inside, keys, ahead=steps)
     state = state.withColumn("before__", F.lag("fecha").over(spec))
     first_after = (F.col("fecha") > F.col("train_end")) & (F.col("before__") <= F.col("train_end"))
-    made = recursive_forecast(state.where(first_after), predictor, steps)
+    made = recursive_forecast(state.where(first_after), predictors, steps)
     return explode_forecasts(made, [*keys])
