@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelmill.constants import FULL_FEATURES, TARGET
 from panelmill.plans.evaluation import Evaluation
 from panelmill.plans.panel import PanelInputs
+from panelmill.session import materialise
 from panelmill.sources import driver_tables as dt
 
 START = "1996-01-01"
@@ -16,15 +17,32 @@ REPLICAS = 200
 HALF = 0.50137
 
 
+# Staged tables of this application, by folder of the given tables.
+_inputs: dict[tuple[str, str], PanelInputs] = {}
+_datasets: dict[tuple[str, str], DataFrame] = {}
+
+
 def inputs(spark: SparkSession, sf_dir: str) -> PanelInputs:
-    return PanelInputs(
-        dt.market_prices(spark, sf_dir), dt.producer_prices(spark, sf_dir), dt.input_prices(spark, sf_dir),
-        dt.macro_sources(spark, sf_dir), category=dt.INPUT_CATEGORY, start=START,
-    )
+    """Panels of the given tables; their staged cells are shared by all queries of a session."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _inputs:
+        _inputs[place] = PanelInputs(
+            dt.market_prices(spark, sf_dir), dt.producer_prices(spark, sf_dir), dt.input_prices(spark, sf_dir),
+            dt.macro_sources(spark, sf_dir), category=dt.INPUT_CATEGORY, start=START,
+        )
+    return _inputs[place]
+
+
+def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature dataset as a stored table, from which training and evaluation start."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _datasets:
+        _datasets[place] = materialise(inputs(spark, sf_dir).dataset(), "dataset")
+    return _datasets[place]
 
 
 def evaluation(spark: SparkSession, sf_dir: str) -> Evaluation:
-    return Evaluation(inputs(spark, sf_dir).dataset(), MIN_ROWS)
+    return Evaluation(dataset(spark, sf_dir), MIN_ROWS)
 
 
 def market_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,7 +370,7 @@ FORECAST_STATE = """
 
 def forecast_sql(state: str, name: str, keys: str) -> str:
     """Three recursive steps of every baseline from rows with `h`, `history_date` and `exog`."""
-    start = {"naive": "{h}[len({h})]", "seasonal_naive": "{h}[len({h}) - 11]",
+    start = {"naive": "{h}[len({h})]", "seasonal_naive": "CASE WHEN len({h}) >= 12 THEN {h}[len({h}) - 11] END",
              "rolling_mean": "list_avg({h}[greatest(len({h}) - 2, 1):])"}
     parts = []
     for model, rule in start.items():
@@ -360,12 +378,11 @@ def forecast_sql(state: str, name: str, keys: str) -> str:
             def step(h: str) -> str:
                 value = rule.format(h=h)
                 return value if fs == "base" else f"(1 - 0.1::DOUBLE) * {value} + 0.1::DOUBLE * exog"
-            guard = " WHERE len(h) >= 12" if model == "seasonal_naive" else ""
             parts.append(f"""
   SELECT {keys}, '{model}' AS model_name, '{fs}' AS feature_set, unnest([1, 2, 3]) AS horizonte,
          unnest([p1, p2, p3]) AS y_pred, history_date
   FROM (SELECT *, {step('list_concat(h, [p1, p2])')} AS p3
-        FROM (SELECT *, {step('list_concat(h, [p1])')} AS p2 FROM (SELECT *, {step('h')} AS p1 FROM {state}{guard}) a) b) c""")
+        FROM (SELECT *, {step('list_concat(h, [p1])')} AS p2 FROM (SELECT *, {step('h')} AS p1 FROM {state}) a) b) c""")
     return f"{name} AS (" + " UNION ALL ".join(parts) + ")"
 
 

@@ -171,8 +171,10 @@ FULL_PREDICTIONS = f"{PREDICTIONS},\nfull_predictions AS (SELECT * FROM predicti
 def _common(source: str, name: str) -> str:
     return f"""
 {name}_keys AS (
-  SELECT product_id, producto, provincia, fecha FROM {source} GROUP BY ALL
-  HAVING count(DISTINCT model_name) = (SELECT count(DISTINCT model_name) FROM {source} x WHERE x.product_id = {source}.product_id)),
+  SELECT k.product_id, producto, provincia, fecha
+  FROM (SELECT product_id, producto, provincia, fecha, count(DISTINCT model_name) AS present FROM {source} GROUP BY ALL) k
+  JOIN (SELECT product_id, count(DISTINCT model_name) AS needed FROM {source} GROUP BY ALL) n USING (product_id)
+  WHERE present = needed AND needed >= 2),
 {name} AS (SELECT s.* FROM {source} s JOIN {name}_keys USING (product_id, producto, provincia, fecha))"""
 
 

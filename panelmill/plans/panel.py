@@ -6,6 +6,8 @@ the panel, whose size depends on the calendar and not on the number of quotes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from panelmill.functions.numbers import locale_number, percentage
 from panelmill.functions.text import clean_text, match_key
 from panelmill.operators.grouping import exact_quantiles, partial_cells, profile_cells
 from panelmill.operators.windows import ENTITY, add_lag_features, dense_ids, entity_window, forward_fill
+from panelmill.session import materialise
 
 CELL = ["product_key", "fecha", "provincia_key"]
 
@@ -238,22 +241,31 @@ DATASET_COLUMNS = [
 ]
 
 
+def as_is(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
 class PanelInputs:
-    """Panels of all sources for one set of raw frames; every attribute is a lazy frame."""
+    """Panels of all sources for one set of raw frames.
+
+    Each raw source is read once: its cells, which several panels use, are staged as a table
+    in the scratch folder. Pass `stage=as_is` to keep everything lazy.
+    """
 
     def __init__(
         self, market: DataFrame, producer: DataFrame, inputs: DataFrame, macro: dict[str, DataFrame],
         category: str = FERTILISER_KEY, start: str = COMMON_START_DATE, products: list[str] | None = None,
+        stage: Callable[[DataFrame, str], DataFrame] = materialise,
     ):
-        cells = producer_cells(producer, products)
-        input_rows = input_cells(inputs, category)
+        cells = stage(producer_cells(producer, products), "producer-cells")
+        input_rows = stage(input_cells(inputs, category), "input-cells")
         self.producer = producer_panel(cells)
         self.producer_nat = producer_national(cells)
         self.inputs = input_panel(input_rows)
         self.inputs_nat = input_national(input_rows)
-        self.macro = assemble_macro(macro)
-        all_market = market_panel(market, products)
-        self.market = shared_entities(all_market, self.producer).where(F.col("fecha") >= F.lit(start).cast("date"))
+        self.macro = stage(assemble_macro(macro), "macro")
+        shared = shared_entities(market_panel(market, products), cells)
+        self.market = stage(shared.where(F.col("fecha") >= F.lit(start).cast("date")), "market-panel")
 
     def joined(self) -> DataFrame:
         return join_panel(self.market, self.producer, self.producer_nat, self.inputs, self.inputs_nat, self.macro)
