@@ -330,7 +330,7 @@ both_sets AS (SELECT product_id || '|' || model_name AS product_id, provincia, f
        {sql_round(['y_true', 'y_pred'], 4)} FROM horizons WHERE y_pred IS NOT NULL""",
     ),
     "horizon_metrics": query(
-        f"{HORIZON}, m AS ({metrics_sql('(SELECT * FROM horizons WHERE y_pred IS NOT NULL) q', SERIES_SQL + ', horizonte', 'provincia, fecha_origen')})",
+        f"{HORIZON}, m AS ({metrics_sql('(SELECT * FROM horizons WHERE y_pred IS NOT NULL) q', SERIES_SQL + ', horizonte', entity='provincia', date='fecha_origen')})",
         f"SELECT {SERIES_SQL}, horizonte, {sql_round(METRICS)}, n_test FROM m",
     ),
     "operational_errors": query(

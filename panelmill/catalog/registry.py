@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["panels", "splits", "models"]
+MODULES = ["panels", "splits", "models", "training"]
 
 
 def _modules():

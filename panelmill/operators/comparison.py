@@ -116,8 +116,7 @@ def horizon_metrics(forecasts: DataFrame) -> DataFrame:
     """Metrics per product, model and step over the forecasts that are defined."""
     defined = forecasts.where(F.col("y_pred").isNotNull() & ~F.isnan("y_pred"))
     by = ["product_id", "model_name", "feature_set", "horizonte"]
-    renamed = defined.withColumnRenamed("fecha_objetivo", "fecha")
-    return regression_metrics(renamed, by, row_order=["provincia", "fecha_origen"])
+    return regression_metrics(defined.withColumnRenamed("fecha_origen", "fecha"), by)
 
 
 def importance_table(importances: DataFrame) -> DataFrame:

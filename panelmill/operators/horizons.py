@@ -7,7 +7,8 @@ frames are bounded (twelve rows back, a few rows ahead).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from panelmill.operators.windows import ENTITY, entity_window
 HISTORY = max(TARGET_LAGS.values())
 CARRIED = [*MARKET_CONTEXT_FEATURES, *EXOGENOUS_FEATURES, "provincia_id"]
 # A one-step predictor turns the feature columns of one future row into a prediction.
-Predictor = Callable[[dict[str, Column]], Column]
+Predictor = Callable[[Mapping[str, Column]], Column]
 
 
 def _mean(values: Column) -> Column:
@@ -36,34 +37,55 @@ def _deviation(values: Column) -> Column:
     return F.when(F.size(values) > 1, F.sqrt(squares / (F.size(values) - 1))).otherwise(F.lit(0.0))
 
 
-def history_features(history: Column) -> dict[str, Column]:
+class FeatureRow(Mapping):
+    """Feature columns by name, built only when a predictor asks for them."""
+
+    def __init__(self, makers: dict[str, Callable[[], Column]]):
+        self._makers = makers
+
+    def __getitem__(self, name: str) -> Column:
+        return self._makers[name]()
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self):
+        return len(self._makers)
+
+
+def history_features(history: Column) -> FeatureRow:
     """Lags, rolling statistics and momentum of the next step, from past values.
 
     Unlike the training features, rolling statistics use what is there when history is short.
     """
-    features = {name: F.try_element_at(history, F.lit(-back)) for name, back in TARGET_LAGS.items()}
-    for size in ROLLING_SIZES:
+    def lag(back: int) -> Column:
+        return F.try_element_at(history, F.lit(-back))
+
+    def rolled(stat: Callable[[Column], Column], size: int) -> Column:
         start = F.greatest(F.size(history) - size + 1, F.lit(1))
-        tail = F.slice(history, start, F.lit(size))
-        some = F.size(history) > 0
-        features[f"target_rolling_mean_{size}"] = F.when(some, _mean(tail))
-        features[f"target_rolling_std_{size}"] = F.when(some, _deviation(tail))
+        return F.when(F.size(history) > 0, stat(F.slice(history, start, F.lit(size))))
+
+    makers = {name: partial(lag, back) for name, back in TARGET_LAGS.items()}
+    for size in ROLLING_SIZES:
+        makers[f"target_rolling_mean_{size}"] = partial(rolled, _mean, size)
+        makers[f"target_rolling_std_{size}"] = partial(rolled, _deviation, size)
     for back in (3, 6):
-        features[f"target_momentum_1_{back}"] = features["target_lag_1"] - features[f"target_lag_{back}"]
-    return features
+        makers[f"target_momentum_1_{back}"] = partial(lambda k: lag(1) - lag(k), back)
+    return FeatureRow(makers)
 
 
-def future_features(last_known: str, known: list[str], history: Column, date: Column) -> dict[str, Column]:
+def future_features(last_known: str, known: list[str], history: Column, date: Column) -> FeatureRow:
     """Full feature row of a future month: exact calendar, carried exogenous values, own history.
 
     A lagged exogenous column takes the last value of the column it lags.
     """
-    features = {c: v for c, v in calendar_columns(date).items() if c in CALENDAR_FEATURES}
-    features |= {c: F.col(f"{last_known}.{c}") for c in known}
-    features |= {
-        lag: F.col(f"{last_known}.{base}") for lag, (base, _) in EXOGENOUS_LAGS.items() if base in known
+    makers = {c: partial(lambda n: calendar_columns(date)[n], c) for c in CALENDAR_FEATURES}
+    makers |= {c: partial(F.col, f"{last_known}.{c}") for c in known}
+    makers |= {
+        lag: partial(F.col, f"{last_known}.{base}") for lag, (base, _) in EXOGENOUS_LAGS.items() if base in known
     }
-    return features | history_features(history)
+    past = history_features(history)
+    return FeatureRow(makers | {name: partial(past.__getitem__, name) for name in past})
 
 
 def future_exogenous(df: DataFrame, steps: int, keys: list[str] | None = None) -> DataFrame:
