@@ -72,7 +72,7 @@ def sql_clean(x: str) -> str:
 
 def sql_title(x: str) -> str:
     words = rf"regexp_extract_all({x}, '[\p{{L}}]+|[^\p{{L}}]+')"
-    return f"array_to_string(list_transform({words}, lambda w: upper(w[1]) || lower(w[2:])), '')"
+    return f"array_to_string(list_transform({words}, lambda w: CASE w[1] WHEN 'ß' THEN 'Ss' ELSE upper(w[1]) END || lower(w[2:])), '')"
 
 
 def sql_fold(x: str) -> str:

@@ -128,12 +128,12 @@ def price_drift(spark, sf):
 
 
 def clean_text_keys(spark, sf):
-    docs = dt.table(spark, sf, "documents")
-    t = F.col("text")
-    cleaned, titled, key = text.clean_text(t), text.clean_text(t, title=True), text.match_key(t)
+    docs = dt.table(spark, sf, "documents").withColumns(
+        {"cleaned": text.clean_text(F.col("text")), "key": text.match_key(F.col("text"))}
+    )
     return docs.select(
-        "doc_id", F.md5(cleaned).alias("cleaned"), F.md5(titled).alias("titled"), F.md5(key).alias("key"),
-        F.length(key).alias("key_chars"), F.md5(text.slug(t)).alias("slug"),
+        "doc_id", F.md5("cleaned").alias("cleaned"), F.md5(text.title_case(F.col("cleaned"))).alias("titled"),
+        F.md5("key").alias("key"), F.length("key").alias("key_chars"), F.md5(text.key_slug(F.col("key"))).alias("slug"),
     )
 
 

@@ -40,10 +40,11 @@ def clean_text(col: Column, title: bool = False) -> Column:
 
 def title_case(col: Column) -> Column:
     """Upper case for each letter that follows a non-letter, lower case elsewhere."""
-    words = F.split(col, f"(?<=[^{CASED[1:-1]}])")
-    return F.array_join(
-        F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))), ""
-    )
+    def word(w: Column) -> Column:
+        first = F.upper(F.left(w, F.lit(1)))  # may be two letters, as for a sharp s
+        return F.concat(F.left(first, F.lit(1)), F.lower(F.substr(first, F.lit(2))), F.lower(F.substr(w, F.lit(2))))
+
+    return F.array_join(F.transform(F.split(col, f"(?<=[^{CASED[1:-1]}])"), word), "")
 
 
 @F.pandas_udf(T.StringType())
@@ -61,10 +62,12 @@ def fold_ascii(col: Column, wide: bool = False) -> Column:
     if wide:
         return _fold_wide(col)
     source, target = _folding()
-    folded = col
+    expanded = col
     for char in EXPANDING:
-        folded = F.replace(folded, F.lit(char), F.lit(_ascii(char)))
-    return F.regexp_replace(F.translate(folded, source, target), r"[^\x00-\x7F]", "")
+        expanded = F.replace(expanded, F.lit(char), F.lit(_ascii(char)))
+    expanded = F.when(col.rlike(f"[{EXPANDING}]"), expanded).otherwise(col)
+    folded = F.regexp_replace(F.translate(expanded, source, target), r"[^\x00-\x7F]", "")
+    return F.when(col.rlike(r"[^\x00-\x7F]"), folded).otherwise(col)
 
 
 def match_key(col: Column, wide: bool = False) -> Column:
@@ -74,9 +77,11 @@ def match_key(col: Column, wide: bool = False) -> Column:
 
 
 def slug(col: Column, wide: bool = False) -> Column:
-    return F.regexp_replace(
-        F.regexp_replace(match_key(col, wide), r"[^a-z0-9]+", "_"), r"^_+|_+$", ""
-    )
+    return key_slug(match_key(col, wide))
+
+
+def key_slug(key: Column) -> Column:
+    return F.trim(F.regexp_replace(key, r"[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def non_blank(col: Column) -> Column:

@@ -130,25 +130,25 @@ def recursive_forecast(state: DataFrame, predictors: dict[str, Predictor], steps
     Each step's prediction is appended to the history the next step sees.
     """
     known = [f.name for f in state.schema["last_known"].dataType.fields if f.name != "none__"]
-    current, entries = state, []
-    for i, (name, predictor) in enumerate(predictors.items()):
-        history = F.col("history")
-        for step in range(1, steps + 1):
-            date = F.add_months("history_date", step)
-            made = f"p__{i}_{step}"
-            features = future_features("last_known", known, history, date)
-            current = current.withColumn(made, predictor(features))
-            history = F.concat("history", F.array(*[F.col(f"p__{i}_{s}") for s in range(1, step + 1)]))
+    current, entries, temporary = state, [], []
+    for step in range(1, steps + 1):
+        date = F.add_months("history_date", step)
+        made = {}
+        for i, (name, predictor) in enumerate(predictors.items()):
+            earlier = [F.col(f"p__{i}_{s}") for s in range(1, step)]
+            history = F.concat("history", F.array(*earlier)) if earlier else F.col("history")
+            made[f"p__{i}_{step}"] = predictor(future_features("last_known", known, history, date))
             entries.append(
                 F.struct(
                     F.lit(name).alias("model"),
                     F.lit(step).alias("horizonte"),
                     date.alias("fecha_objetivo"),
-                    F.col(made).alias("y_pred"),
+                    F.col(f"p__{i}_{step}").alias("y_pred"),
                 )
             )
-    made = [f"p__{i}_{s}" for i in range(len(predictors)) for s in range(1, steps + 1)]
-    return current.withColumn("forecasts", F.array(*entries)).drop(*made)
+        current = current.withColumns(made)  # one projection per step for all predictors
+        temporary += made
+    return current.withColumn("forecasts", F.array(*entries)).drop(*temporary)
 
 
 def explode_forecasts(forecasts: DataFrame, keep: list[str]) -> DataFrame:

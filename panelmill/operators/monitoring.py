@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.constants import MIN_REPORT_ROWS
 from panelmill.operators.grouping import exact_quantiles, running_totals
 from panelmill.operators.metrics import metric_columns, with_direction
+from panelmill.session import materialise
 
 EMPTY_SHARE = 1e-4
 
@@ -38,10 +39,13 @@ def ks_statistics(by_value: DataFrame) -> DataFrame:
         F.max("m").alias("n_reference"), F.max("k").alias("n_current"), F.max(gap).alias("ks")
     )
     scaled = F.col("ks") * F.sqrt(F.col("n_reference") * F.col("n_current") / (F.col("n_reference") + F.col("n_current")))
-    terms = [2.0 * (-1) ** (j - 1) * F.exp(-2.0 * j * j * scaled * scaled) for j in range(1, 101)]
-    series = F.aggregate(F.array(*terms), F.lit(0.0), lambda a, x: a + x)
-    p_value = F.when(scaled < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
-    return distance.withColumn("ks_p_value", p_value)
+    def add_term(total: Column, j: Column) -> Column:
+        sign = F.when(j % 2 == 1, F.lit(2.0)).otherwise(F.lit(-2.0))
+        return total + sign * F.exp(-2.0 * j * j * F.col("scaled__") * F.col("scaled__"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), add_term)
+    p_value = F.when(F.col("scaled__") < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+    return distance.withColumn("scaled__", scaled).withColumn("ks_p_value", p_value).drop("scaled__")
 
 
 def stability_index(by_value: DataFrame, bins: int = 10) -> DataFrame:
@@ -63,12 +67,13 @@ def drift_report(
     reference: DataFrame, current: DataFrame, columns: list[str], alpha: float = 0.05
 ) -> DataFrame:
     """Per column: sample sizes, KS distance and p-value, PSI and a drift verdict, and the share
-    of columns that drifted."""
-    by_value = _labelled(reference, current, columns)
+    of columns that drifted. The counts per distinct value are staged, since both statistics
+    read them several times."""
+    by_value = materialise(_labelled(reference, current, columns), "value-counts")
     report = ks_statistics(by_value).join(stability_index(by_value), "column")
     judged = report.withColumn("drifted", F.col("ks_p_value") < alpha)
-    share = judged.agg(F.avg(F.col("drifted").cast("double"))).scalar()
-    return judged.withColumn("drifted_share", share)
+    all_columns = Window.partitionBy()  # one row per column of the frame
+    return judged.withColumn("drifted_share", F.avg(F.col("drifted").cast("double")).over(all_columns))
 
 
 def performance_report(reference: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:
