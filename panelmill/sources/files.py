@@ -10,35 +10,37 @@ from panelmill.constants import SHEET_BLOCKLIST
 from panelmill.functions.headers import drop_unnamed, has_table_shape, normalise_headers
 from panelmill.functions.text import match_key, named_like
 
-REPLACEMENT = "�"
-BOM = "﻿"
+BOM = r"\x{feff}"
 
 
 def file_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, block, line, value): the text lines of all files, in splits.
+    """(file, block, line, value): the text lines of all files, read in splits.
 
-    `block` and `line` order the lines of a file. The bytes are read as latin-1, which keeps
-    every byte, and a file whose bytes are all valid UTF-8 is then decoded as UTF-8.
+    `block` and `line` order the lines of a file. The scan keeps the bytes as they are; a file
+    with any line that is not valid UTF-8 is read as latin-1 as a whole.
     """
-    raw = spark.read.option("encoding", "ISO-8859-1").text(path).select(
+    raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
-        F.encode("value", "ISO-8859-1").alias("bytes"),
         "value",
     )
-    latin = raw.groupBy("file").agg(F.bool_or(~F.is_valid_utf8(F.col("bytes").cast("string"))).alias("latin"))
-    text = F.when(F.col("latin"), F.col("value")).otherwise(F.col("bytes").cast("string"))
+    latin = raw.groupBy("file").agg(F.bool_or(~F.is_valid_utf8("value")).alias("latin"))
+    decoded = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    text = F.when(F.col("latin"), decoded).otherwise(F.col("value"))
     return raw.join(latin, "file").select(
         "file", "block", "line", F.regexp_replace(F.rtrim(text, F.lit("\r")), f"^{BOM}", "").alias("value")
     )
 
 
-def latin_files(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
-    """Names of the files that are valid UTF-8 and of those that are not."""
+def files_by_charset(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Names of the files that are valid UTF-8 and of those to be read as latin-1."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    flagged = lines.groupBy("file").agg(F.bool_or(F.contains("value", F.lit(REPLACEMENT))).alias("bad")).collect()
-    return [r.file for r in flagged if not r.bad], [r.file for r in flagged if r.bad]
+    flagged = lines.groupBy("file").agg(F.bool_or(~F.is_valid_utf8("value")).alias("latin")).collect()
+    return {
+        "UTF-8": [r.file for r in flagged if not r.latin],
+        "ISO-8859-1": [r.file for r in flagged if r.latin],
+    }
 
 
 def read_csv_with_fallback(
@@ -48,12 +50,11 @@ def read_csv_with_fallback(
 
     Without a schema all columns are read as text, to be cast by the cleaning operators.
     """
-    good, bad = latin_files(spark, path)
     parts = []
-    for files, charset in ((good, "UTF-8"), (bad, "ISO-8859-1")):
-        if files:
+    for charset, names in files_by_charset(spark, path).items():
+        if names:
             reader = spark.read.options(header=True, encoding=charset, **options)
-            parts.append((reader.schema(schema) if schema else reader).csv(files))
+            parts.append((reader.schema(schema) if schema else reader).csv(names))
     combined = parts[0]
     for part in parts[1:]:
         combined = combined.unionByName(part, allowMissingColumns=True)
