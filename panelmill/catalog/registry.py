@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["panels", "splits", "models", "exploration", "training"]
+MODULES = ["panels", "splits", "models", "exploration", "storage", "training"]
 
 
 def _modules():

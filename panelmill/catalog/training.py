@@ -59,6 +59,13 @@ def arx_rolling_origins(spark, sf):
     return rounded(arx.rolling_origins(ev.split, materialise(orders, "orders")), 3)
 
 
+def arx_future(spark, sf):
+    """Six months beyond the data for every product and province."""
+    ev = evaluation(spark, sf)
+    orders = arx.fit_entities(ev.split, ev.bounds).select("product_key", "provincia_key", "orders").distinct()
+    return rounded(arx.future_forecasts(ev.split, orders), 3)
+
+
 def gbt_pooled(spark, sf):
     """One boosted model per product over all its provinces, scored on its holdout."""
     split = materialise(evaluation(spark, sf).split, "split", ["product_key"])
@@ -96,7 +103,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sequence_scores, sequence_regression, sequence_common_window, arx_per_entity, arx_metrics, arx_rolling_origins,
-        gbt_pooled, gbt_grid, feature_importance, stored_model_scores,
+        arx_future, gbt_pooled, gbt_grid, feature_importance, stored_model_scores,
     )
 }
 ORACLES: dict[str, str] = {}

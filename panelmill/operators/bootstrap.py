@@ -7,11 +7,13 @@ from a hash of (seed, replica, product, entity, slot): the same in any partition
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.constants import BLOCK_MONTHS, CONFIDENCE, REPLICAS, SEED
 from panelmill.operators.comparison import common_window
+from panelmill.operators.grouping import running_totals
+from panelmill.session import materialise
 
 
 def _draw(seed: int, slot: Column, choices: Column) -> Column:
@@ -161,20 +163,21 @@ def paired_difference(
     return found.withColumn("significant", significant)
 
 
-def holm_bonferroni(df: DataFrame, p_value: str, alias: str, alpha: float = 1 - CONFIDENCE, tie: list[str] | None = None) -> DataFrame:
+def holm_bonferroni(df: DataFrame, p_value: str, alias: str, alpha: float = 1 - CONFIDENCE) -> DataFrame:
     """Step-down verdicts over the whole family of comparisons.
 
-    The family has one row per comparison of models, so its single window is small.
+    Equal p-values share their verdict, and everything from the first failing value on fails, so
+    ranks are only needed per distinct p-value and the family itself is never sorted.
     """
-    order = Window.partitionBy().orderBy(p_value, *(tie or []))
-    rank = F.row_number().over(order)
-    size = F.count(F.lit(1)).over(Window.partitionBy())
-    passed = df.withColumn("passed__", (F.col(p_value) <= F.lit(alpha) / (size - rank + 1)).cast("int"))
-    so_far = F.min("passed__").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return passed.withColumn(alias, so_far == 1).drop("passed__")
+    counts = df.groupBy(F.col(p_value).alias("p__")).agg(F.count(F.lit(1)).alias("n"))
+    size = df.agg(F.count(F.lit(1))).scalar()
+    ranked = running_totals(counts, [], "p__", ["n"])
+    before = F.col("n__upto") - F.col("n")
+    failing = ranked.where(F.col("p__") > F.lit(alpha) / (size - before)).agg(F.min("p__")).scalar()
+    return df.withColumn(alias, F.col(p_value) < F.coalesce(failing, F.lit(float("inf"))))
 
 
-def _verdicts(found: DataFrame, names: dict[str, str], delta: str, tie: list[str]) -> DataFrame:
+def _verdicts(found: DataFrame, names: dict[str, str], delta: str) -> DataFrame:
     table = found.select(
         "product_id",
         *[F.col(old).alias(new) for old, new in names.items()],
@@ -185,14 +188,14 @@ def _verdicts(found: DataFrame, names: dict[str, str], delta: str, tie: list[str
         F.col("significant").alias("significant_95"),
         F.col("p_value").alias("p_value_bootstrap"),
     )
-    return holm_bonferroni(table, "p_value_bootstrap", "significant_holm", tie=tie)
+    return holm_bonferroni(materialise(table, "comparisons"), "p_value_bootstrap", "significant_holm")
 
 
 def pairwise_significance(predictions: DataFrame, replicas: int = REPLICAS, **options) -> DataFrame:
     """Every pair of models of a product on their common window."""
     found = paired_difference(common_window(predictions), "model_name", replicas, **options)
     names = {"series_a": "model_a", "series_b": "model_b"}
-    return _verdicts(found, names, "delta_rmse_a_minus_b", ["product_id", "model_a", "model_b"])
+    return _verdicts(found, names, "delta_rmse_a_minus_b")
 
 
 def paired_feature_sets(predictions: DataFrame) -> DataFrame:
@@ -221,4 +224,4 @@ def ablation_significance(predictions: DataFrame, replicas: int = REPLICAS, **op
     named = found.withColumn("model_name", F.element_at(split, -1)).withColumn(
         "product_id", F.array_join(F.slice(split, 1, F.size(split) - 1), "|")
     )
-    return _verdicts(named, {"model_name": "model_name"}, "delta_rmse_base_minus_full", ["product_id", "model_name"])
+    return _verdicts(named, {"model_name": "model_name"}, "delta_rmse_base_minus_full")

@@ -126,9 +126,10 @@ def fit_ranges(df: DataFrame, columns: list[str], by: list[str] | None = None) -
 
 def scale_columns(df: DataFrame, ranges: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Columns scaled to the fitted ranges (one row per group, or a single row)."""
-    joined = df.join(ranges, by) if by else df.join(F.broadcast(ranges.limit(1)))
+    fitted = [f"{c}__{n}" for c in columns for n in ("low", "high")]
+    joined = df.join(ranges, by) if by else df.withColumns({n: ranges.select(n).scalar() for n in fitted})
     scaled = {c: scale(F.col(c), F.col(f"{c}__low"), F.col(f"{c}__high")) for c in columns}
-    return joined.withColumns(scaled).drop(*[f"{c}__{n}" for c in columns for n in ("low", "high")])
+    return joined.withColumns(scaled).drop(*fitted)
 
 
 def monthly_means(df: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:

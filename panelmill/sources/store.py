@@ -21,8 +21,9 @@ def save_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    reader = spark.read.option("multiLine", True)
+def read_json(spark: SparkSession, path: str, schema=None, one_per_file: bool = False) -> DataFrame:
+    """JSON documents, one per line as `save_json` writes them or one per file."""
+    reader = spark.read.option("multiLine", one_per_file)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
@@ -80,6 +81,6 @@ def load_bundle(df: DataFrame, feature_set: str = "full", metadata: dict | None
     return FeatureBundle(dated, features, target, date, feature_set)
 
 
-def metadata_rollup(spark: SparkSession, path: str) -> DataFrame:
+def metadata_rollup(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
     """One row per product from the metadata documents under `path`."""
-    return read_json(spark, path).select("product_key", "product_name", "preprocessing_summary.*")
+    return read_json(spark, path, one_per_file=one_per_file).select("product_key", "product_name", "preprocessing_summary.*")

@@ -17,7 +17,7 @@ def test_registry():
     assert set(sql) <= set(queries) and len(queries) > 80
     assert set(queries) - set(sql) == {
         "sequence_scores", "sequence_regression", "sequence_common_window", "arx_per_entity", "arx_metrics",
-        "arx_rolling_origins", "gbt_pooled", "gbt_grid", "feature_importance", "stored_model_scores",
+        "arx_rolling_origins", "arx_future", "gbt_pooled", "gbt_grid", "feature_importance", "stored_model_scores",
     }
 
 
