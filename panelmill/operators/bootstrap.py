@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelmill.constants import BLOCK_MONTHS, CONFIDENCE, REPLICAS, SEED
 from panelmill.operators.comparison import common_window
 from panelmill.operators.grouping import running_totals
-from panelmill.session import materialise
+from panelmill.session import materialise, spread
 
 
 def _draw(seed: int, slot: Column, choices: Column) -> Column:
@@ -36,7 +36,7 @@ def entity_errors(matched: DataFrame, series: str) -> DataFrame:
     """Per product and entity: test length and, per series, prefix sums of squared errors."""
     squared = (F.col("y_true") - F.col("y_pred")) * (F.col("y_true") - F.col("y_pred"))
     listed = F.array_sort(F.collect_list(F.struct("fecha", squared.alias("e"))))
-    per_series = matched.groupBy("product_id", "provincia", F.col(series).alias("series")).agg(
+    per_series = spread(matched, ["product_id", "provincia"]).groupBy("product_id", "provincia", F.col(series).alias("series")).agg(
         F.transform(listed, lambda x: x["e"]).alias("errors")
     )
     return (

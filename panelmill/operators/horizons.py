@@ -19,6 +19,7 @@ from panelmill.constants import (
 )
 from panelmill.functions.dates import calendar_columns
 from panelmill.operators.windows import ENTITY, entity_window
+from panelmill.session import spread
 
 HISTORY = max(TARGET_LAGS.values())
 CARRIED = [*MARKET_CONTEXT_FEATURES, *EXOGENOUS_FEATURES, "provincia_id"]
@@ -114,7 +115,7 @@ def origin_state(df: DataFrame, keys: list[str] | None = None, target: str = TAR
     past = spec.rowsBetween(-HISTORY, -1)
     previous = spec.rowsBetween(-1, -1)
     coming = spec.rowsBetween(0, ahead - 1)
-    return df.withColumns(
+    return spread(df, keys).withColumns(
         {
             "history": F.collect_list(F.col(target)).over(past),
             "history_date": F.last("fecha").over(previous),

@@ -65,17 +65,19 @@ def _add_up(sums: DataFrame, keys: list[str], schema: T.StructType) -> DataFrame
 
 
 def expanding_sums(chunk_sums: DataFrame, keys: list[str], chunk: str = "chunk") -> DataFrame:
-    """Sums over all chunks up to each chunk: the training state of the fold that follows."""
-    listed = F.collect_list(F.struct(F.col(chunk), "sums", "n"))
-    def added(c: Column) -> Column:
-        upto = F.filter("all_chunks", lambda d: d[chunk] <= c[chunk])
-        zero = F.transform(c["sums"], lambda _: F.lit(0.0))
-        sums = F.aggregate(upto, zero, lambda acc, d: F.zip_with(acc, d["sums"], lambda a, b: a + b))
-        n = F.aggregate(upto, F.lit(0).cast("long"), lambda acc, d: acc + d["n"])
-        return F.struct(c[chunk].alias(chunk), sums.alias("sums"), n.alias("n"))
-
-    grouped = chunk_sums.groupBy(*keys).agg(listed.alias("all_chunks"))
-    return grouped.select(*keys, F.inline(F.transform("all_chunks", added)))
+    """Sums over all chunks up to each chunk: the training state of the fold that follows.
+
+    A group holds one row per chunk.
+    """
+    columns = [*keys, chunk, "sums", "n"]
+
+    def accumulated(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values(chunk)
+        upto = np.cumsum(np.vstack(ordered["sums"].to_numpy()), axis=0)
+        return ordered.assign(sums=list(upto), n=ordered["n"].cumsum())[columns]
+
+    ordered = chunk_sums.select(*columns)
+    return ordered.groupBy(*keys).applyInPandas(accumulated, ordered.schema)
 
 
 def solve(sums: DataFrame, keys: list[str], penalties: list[float]) -> DataFrame:

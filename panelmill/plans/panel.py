@@ -7,6 +7,7 @@ the panel, whose size depends on the calendar and not on the number of quotes.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -249,7 +250,7 @@ class PanelInputs:
     """Panels of all sources for one set of raw frames.
 
     Each raw source is read once: its cells, which several panels use, are staged as a table
-    in the scratch folder. Pass `stage=as_is` to keep everything lazy.
+    in the scratch folder when first needed. Pass `stage=as_is` to keep everything lazy.
     """
 
     def __init__(
@@ -257,15 +258,42 @@ class PanelInputs:
         category: str = FERTILISER_KEY, start: str = COMMON_START_DATE, products: list[str] | None = None,
         stage: Callable[[DataFrame, str], DataFrame] = materialise,
     ):
-        cells = stage(producer_cells(producer, products), "producer-cells")
-        input_rows = stage(input_cells(inputs, category), "input-cells")
-        self.producer = producer_panel(cells)
-        self.producer_nat = producer_national(cells)
-        self.inputs = input_panel(input_rows)
-        self.inputs_nat = input_national(input_rows)
-        self.macro = stage(assemble_macro(macro), "macro")
-        shared = shared_entities(market_panel(market, products), cells)
-        self.market = stage(shared.where(F.col("fecha") >= F.lit(start).cast("date")), "market-panel")
+        self._market, self._producer, self._inputs, self._macro = market, producer, inputs, macro
+        self._category, self._start, self._products, self._stage = category, start, products, stage
+
+    @cached_property
+    def producer_rows(self) -> DataFrame:
+        return self._stage(producer_cells(self._producer, self._products), "producer-cells")
+
+    @cached_property
+    def input_rows(self) -> DataFrame:
+        return self._stage(input_cells(self._inputs, self._category), "input-cells")
+
+    @cached_property
+    def macro(self) -> DataFrame:
+        return self._stage(assemble_macro(self._macro), "macro")
+
+    @cached_property
+    def market(self) -> DataFrame:
+        """Market panel of the shared provinces from the common start on."""
+        shared = shared_entities(market_panel(self._market, self._products), self.producer_rows)
+        return self._stage(shared.where(F.col("fecha") >= F.lit(self._start).cast("date")), "market-panel")
+
+    @cached_property
+    def producer(self) -> DataFrame:
+        return producer_panel(self.producer_rows)
+
+    @cached_property
+    def producer_nat(self) -> DataFrame:
+        return producer_national(self.producer_rows)
+
+    @cached_property
+    def inputs(self) -> DataFrame:
+        return input_panel(self.input_rows)
+
+    @cached_property
+    def inputs_nat(self) -> DataFrame:
+        return input_national(self.input_rows)
 
     def joined(self) -> DataFrame:
         return join_panel(self.market, self.producer, self.producer_nat, self.inputs, self.inputs_nat, self.macro)

@@ -35,3 +35,16 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partitions by `keys`, two tasks per core, for work that costs far more than its bytes.
+
+    Adaptive execution merges small partitions by size, which would put refits, replicas or
+    forecast steps of all entities in one task; a requested count is left alone. The count
+    differs from the session's own, or the planner would drop the step where rows already are
+    grouped by these keys. Groupings and windows by the same keys need no further shuffle.
+    """
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(2 * max(configured, spark.sparkContext.defaultParallelism), *keys)
