@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in spark.checkpoint.dir.
 
-    Only where nothing is configured (tests, local runs) a temporary folder is set.
+    Where nothing is configured, a session with a local master gets a temporary folder. On a cluster
+    that is an error, because executors could not see each other's files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelmill-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -34,7 +38,22 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._staged_path = path
+    return stored
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that `materialise` wrote and that no frame reads any more.
+
+    Also lets Spark drop the shuffle files of finished jobs, which it does only when the driver
+    collects its garbage.
+    """
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table._staged_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
