@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,9 @@ PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: sides, and ANCHOR words from there still lie within the match.
 ANCHOR = WINDOW - PERIOD + 1
 ROWS = 500
+#: Windows that a task combines before they leave it, and what a row of them is for.
+BUFFER = 1_000_000
+ASKS, TELLS, SETTLED = 0, 1, 2
 
 
 def _anchors(scanner: Scanner, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -52,49 +55,116 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["id", "anchors"])
 
 
+def _spans(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive starts of one row: its row, first and last start. Sorted by both."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    return row[first], start[first], start[last]
+
+
+def _near_anchors(one: Scanner, two: Scanner, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Row, start and both hashes of the windows whose first PERIOD offsets hold a repeated anchor."""
+    words = one.words(part.column(1))
+    again = two.words(part.column(1))
+    at, hashes = _anchors(one, words)
+    repeated, rows = part.column(2).values.to_numpy(), part.column(2).offsets.to_numpy()
+    ends = np.searchsorted(at, words.offsets)
+    marks = np.zeros(len(words.hashes) + 1, np.int64)
+    for i in range(part.num_rows):
+        own = slice(ends[i], ends[i + 1])
+        hit = at[own][np.isin(hashes[own], repeated[rows[i]:rows[i + 1]])]
+        np.add.at(marks, np.maximum(hit - PERIOD + 1, words.offsets[i]), 1)
+        np.add.at(marks, hit + 1, -1)
+    near = np.cumsum(marks)[:-1] > 0
+    starts = one.room(words, WINDOW)
+    starts = starts[near[starts]]
+    row = np.searchsorted(words.offsets, starts, "right") - 1
+    high, low = one.windows(words, starts, WINDOW), two.windows(again, starts, WINDOW)
+    return row, starts - words.offsets[row], high.view(np.int64), (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow function: (row, text, anchors) to (row, starts, high, low): the windows over those anchors.
+    """Arrow function: (key, text, anchors) to windows (key, high, low, start, stop, kind).
 
-    `anchors` are the row's repeated ones. Every window of WINDOW words whose first PERIOD offsets
-    hold one is extended to its whole length and hashed twice, 128 bits in all.
+    `anchors` are the row's repeated ones. Windows around them are extended to their whole length and
+    hashed to 96 bits. Of up to BUFFER windows, those that occur once ask for others (ASKS). Those
+    that occur more often are settled: their starts pass as spans (SETTLED), and one row tells the
+    other tasks (TELLS), so a frequent passage leaves each task once.
     """
     one, two = Scanner(seed=6), Scanner(seed=66)
-    for part in _parts(batches):
-        words = one.words(part.column(1))
-        again = two.words(part.column(1))
-        at, hashes = _anchors(one, words)
-        repeated, rows = part.column(2).values.to_numpy(), part.column(2).offsets.to_numpy()
-        ends = np.searchsorted(at, words.offsets)
-        marks = np.zeros(len(words.hashes) + 1, np.int64)
-        for i in range(part.num_rows):
-            own = slice(ends[i], ends[i + 1])
-            hit = at[own][np.isin(hashes[own], repeated[rows[i]:rows[i + 1]])]
-            np.add.at(marks, np.maximum(hit - PERIOD + 1, words.offsets[i]), 1)
-            np.add.at(marks, hit + 1, -1)
-        near = np.cumsum(marks)[:-1] > 0
-        starts = one.room(words, WINDOW)
-        starts = starts[near[starts]]
-        cuts = np.searchsorted(starts, words.offsets).astype(np.int32)
-        place = starts - np.repeat(words.offsets[:-1], np.diff(cuts))
-        lists = [place, one.windows(words, starts, WINDOW).view(np.int64), two.windows(again, starts, WINDOW).view(np.int64)]
-        yield pa.RecordBatch.from_arrays([
-            part.column(0), *[pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in lists],
-        ], names=["id", "starts", "high", "low"])
 
-
-def _kept(texts: pa.Array, starts: list[np.ndarray] | None) -> tuple[list, list, list]:
-    """Words, removed words and the remaining words joined by blanks, for each text."""
+    def flush(keys: pa.Array, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        row, start, high, low = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(high, kind="stable")
+        same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
+        after, before = np.append(same, False), np.append(False, same)
+        alone, told = order[~after & ~before], order[after & ~before]
+        settled = np.sort(order[after | before])  # rows and starts ascend with the place
+        span_row, first, last = _spans(row[settled], start[settled])
+        spread = np.searchsorted(row, span_row)
+        take = np.concatenate([row[alone], row[told], span_row])
+        kinds = np.repeat(np.array([ASKS, TELLS, SETTLED], np.int8), [len(alone), len(told), len(span_row)])
+        return pa.RecordBatch.from_arrays([
+            keys.take(pa.array(take)), pa.array(np.concatenate([high[alone], high[told], high[spread]])),
+            pa.array(np.concatenate([low[alone], low[told], low[spread]])),
+            pa.array(np.concatenate([start[alone], start[told], first]).astype(np.int32)),
+            pa.array(np.concatenate([start[alone], start[told], last]).astype(np.int32)), pa.array(kinds),
+        ], names=["key", "high", "low", "start", "stop", "kind"])
+
+    keys, found, rows, size = [], [], 0, 0
+    for part in _parts(batches):
+        row, *rest = _near_anchors(one, two, part)
+        keys.append(part.column(0))
+        found.append((row + rows, *rest))
+        rows, size = rows + part.num_rows, size + len(row)
+        if size > BUFFER:
+            yield flush(pa.concat_arrays(keys), found)
+            keys, found, rows, size = [], [], 0, 0
+    if size:
+        yield flush(pa.concat_arrays(keys), found)
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function over windows sorted by hash: spans of starts that are repeated, by key."""
+    names = ["key", "start", "stop"]
+    held, matched = None, False  # the last row so far, and whether the one before is equal
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        high, low, kind = (batch.column(i).to_numpy() for i in (1, 2, 5))
+        same = (high[1:] == high[:-1]) & (low[1:] == low[:-1]) & (kind[1:] != SETTLED) & (kind[:-1] != SETTLED)
+        hit = np.append(same, False) | np.append(held is not None and matched, same)
+        out = ((kind == ASKS) & hit) | (kind == SETTLED)
+        matched = bool(hit[-1])
+        held = batch.slice(batch.num_rows - 1, 1)
+        ready = batch.slice(0, batch.num_rows - 1).filter(pa.array(out[:-1]))
+        yield ready.select(names)
+    if held is not None:
+        kind = held.column(5)[0].as_py()
+        if kind == SETTLED or (kind == ASKS and matched):
+            yield held.select(names)
+
+
+def _kept(texts: pa.Array, spans: list[np.ndarray]) -> tuple[list, list, list]:
+    """Words, removed words and the remaining words joined by blanks, for each text.
+
+    A span is the first and the last of consecutive starts, in the halves of a 64-bit integer.
+    """
     data, rows = flat(texts)
     total, removed, kept = [], [], []
     for i, (a, b) in enumerate(zip(rows[:-1], rows[1:])):
         words = data[a:b].tobytes().split()
         total.append(len(words))
-        if starts is None or not len(starts[i]):
+        if not len(spans[i]):
             removed.append(0)
         else:
             marks = np.zeros(len(words) + 1, np.int64)
-            np.add.at(marks, starts[i], 1)
-            np.add.at(marks, starts[i] + WINDOW, -1)
+            np.add.at(marks, spans[i] >> 32, 1)
+            np.add.at(marks, (spans[i] & 0xFFFFFFFF) + WINDOW, -1)
             covered = np.cumsum(marks)[:-1] > 0
             removed.append(int(covered.sum()))
             words = [w for w, c in zip(words, covered) if not c]
@@ -103,7 +173,7 @@ def _kept(texts: pa.Array, starts: list[np.ndarray] | None) -> tuple[list, list,
 
 
 def _cut(hashed: bool):
-    """Arrow function: id, text and starts of repeated windows (may be null) to the remaining text."""
+    """Arrow function: id, text and spans of repeated windows (may be null) to the remaining text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
@@ -118,13 +188,20 @@ def _cut(hashed: bool):
     return run
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, starts): where windows of 35 words begin whose words also begin elsewhere, per row.
+def _mark(text: str) -> Column:
+    """Tells texts under one id apart."""
+    return F.hash(text)
+
 
-    Only rows with such a window. Anchors stand at cover positions only, about a fifth of the words.
-    Any two places that share 35 words share an anchor; windows around repeated anchors are extended
-    and counted by a 128-bit hash. Counting combines on the map side and hits go back by a join that
-    adaptive execution splits, so a passage may be in any share of the rows; no pairs are formed.
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, mark, spans): where windows of 35 words begin whose words also begin elsewhere.
+
+    Only texts with such a window; `mark` tells texts under one id apart, and a span is the first and
+    the last of consecutive starts. Anchors stand at cover positions only, a fifth of the words. Any
+    two places that share 35 words share an anchor. Anchors are counted, combined on the map side,
+    and the repeated ones go back to their rows by a join that adaptive execution splits. Windows
+    around them meet by hash; tasks have combined theirs before, and a partition is read as a sorted
+    stream, so a passage may be in any share of the rows. No pairs are formed.
     """
     kind = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -136,24 +213,23 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hits = anchors.join(often, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     hits = materialise(hits, "hits")
     release(docs.sparkSession, anchors)
-    # Rows that repeat an id have the anchors of all of them, which the next step sorts out.
+    # Rows that repeat an id have the anchors of all of them; anchors that are not their own do nothing.
     near = texts.join(hits.withColumnRenamed("id", "wanted"), F.col("id").eqNullSafe(F.col("wanted")))
-    near = near.select(F.struct("id", F.xxhash64("text").alias("mark")).alias("id"), "text", "anchors")
-    schema = T.StructType([
-        T.StructField("id", near.schema["id"].dataType),
-        *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("starts", "high", "low")],
-    ])
-    windows = near.mapInArrow(_extend, schema).where(F.size("starts") > 0)
-    windows = materialise(windows.withColumn("row", F.monotonically_increasing_id()), "windows")
+    near = near.select(F.struct("id", _mark("text").alias("mark")).alias("key"), "text", "anchors")
+    key = near.schema["key"]
+    windows = near.mapInArrow(_extend, T.StructType([
+        key, T.StructField("high", T.LongType()), T.StructField("low", T.IntegerType()),
+        T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("kind", T.ByteType()),
+    ]))
+    windows = windows.repartition("high").sortWithinPartitions("high", "low", "kind")
+    spans = windows.mapInArrow(_match, T.StructType([
+        key, T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()),
+    ]))
+    span = F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")
+    spans = spans.groupBy("key.id", "key.mark").agg(F.collect_list(span).alias("spans"))
+    spans = materialise(spans, "spans")
     release(docs.sparkSession, hits)
-    each = windows.select("row", F.explode(F.arrays_zip("starts", "high", "low")).alias("w"))
-    each = each.select("row", F.col("w.starts").alias("start"), F.col("w.high").alias("high"), F.col("w.low").alias("low"))
-    twice = each.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
-    starts = each.join(twice, ["high", "low"]).groupBy("row").agg(F.collect_list("start").alias("starts"))
-    ids = windows.select("row", F.col("id.id").alias("id"), F.col("id.mark").alias("mark"))
-    found = materialise(ids.join(starts, "row"), "repeats")
-    release(docs.sparkSession, windows)
-    return found
+    return spans
 
 
 def remove_repeats(docs: DataFrame, hashed: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,11 +240,10 @@ def remove_repeats(docs: DataFrame, hashed: bool = False, id_col: str = "doc_id"
     that repeat an id and text repeat each other's windows, as any two rows with equal texts do.
     """
     found = repeated_windows(docs, id_col, text_col)
-    found = found.groupBy("id", "mark").agg(F.first("starts").alias("starts"))
-    found = found.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "starts")
+    found = found.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "spans")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
-    marked = texts.join(found, same, "left").select("id", "text", "starts")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (_mark("text") == F.col("_mark"))
+    marked = texts.join(found, same, "left").select("id", "text", "spans")
     schema = T.StructType([
         T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()),
         T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
