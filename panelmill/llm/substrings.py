@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +24,9 @@ PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: sides, and ANCHOR words from there still lie within the match.
 ANCHOR = WINDOW - PERIOD + 1
 ROWS = 500
-#: Windows that a task combines before they leave it, and what a row of them is for.
-BUFFER = 1_000_000
-ASKS, TELLS, SETTLED = 0, 1, 2
+#: Windows that a task combines before they leave it; also those of a hash bucket, about.
+BUFFER = 500_000
+HASH = np.dtype([("high", "<i8"), ("low", "<i4")])
 
 
 def _anchors(scanner: Scanner, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +62,7 @@ def _spans(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(row)) - 1
+    last = np.append(first[1:], len(row))[:len(first)] - 1
     return row[first], start[first], start[last]
 
 
@@ -85,68 +87,99 @@ def _near_anchors(one: Scanner, two: Scanner, part: pa.RecordBatch) -> tuple[np.
     return row, starts - words.offsets[row], high.view(np.int64), (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow function: (key, text, anchors) to windows (key, high, low, start, stop, kind).
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(values, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i4").astype(np.int64))
+
+
+def _extend(buckets: int):
+    """Arrow function: (key, text, anchors) to windows, by hash bucket, and where they came from.
 
     `anchors` are the row's repeated ones. Windows around them are extended to their whole length and
-    hashed to 96 bits. Of up to BUFFER windows, those that occur once ask for others (ASKS). Those
-    that occur more often are settled: their starts pass as spans (SETTLED), and one row tells the
-    other tasks (TELLS), so a frequent passage leaves each task once.
+    hashed to 96 bits. Of up to about BUFFER windows, those that occur more often than once are
+    settled and leave as spans; one hash each tells the other tasks, so a frequent passage leaves a
+    task once. Those that occur once ask for others. A bucket gets the hashes that ask, then those
+    that tell; the batch's own row (bucket null) keeps the places of those that ask, by bucket.
     """
-    one, two = Scanner(seed=6), Scanner(seed=66)
 
     def flush(keys: pa.Array, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         row, start, high, low = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(high, kind="stable")
         same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
         after, before = np.append(same, False), np.append(False, same)
-        alone, told = order[~after & ~before], order[after & ~before]
-        settled = np.sort(order[after | before])  # rows and starts ascend with the place
-        span_row, first, last = _spans(row[settled], start[settled])
-        spread = np.searchsorted(row, span_row)
-        take = np.concatenate([row[alone], row[told], span_row])
-        kinds = np.repeat(np.array([ASKS, TELLS, SETTLED], np.int8), [len(alone), len(told), len(span_row)])
+        alone, told = np.sort(order[~after & ~before]), order[after & ~before]
+        settled = np.sort(order[after | before])
+        bucket = ((high.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        alone = alone[np.argsort(bucket[alone], kind="stable")]
+        told = told[np.argsort(bucket[told], kind="stable")]
+        every = np.arange(buckets + 1)
+        asks, tells = (np.searchsorted(bucket[x], every) for x in (alone, told))
+        packed = np.empty(len(high), HASH)
+        packed["high"], packed["low"] = high, low
+        used = np.flatnonzero((np.diff(asks) > 0) | (np.diff(tells) > 0))
+        hashes = [packed[np.concatenate([alone[asks[i]:asks[i + 1]], told[tells[i]:tells[i + 1]]])].tobytes() for i in used]
+        n, batch = len(used), uuid.uuid4().bytes
+        spans = (start[settled], row[settled])
+        first_row, first, last = _spans(spans[1], spans[0])
+        origin = [_packed(x) for x in (row[alone], start[alone], first_row, first, last)]
         return pa.RecordBatch.from_arrays([
-            keys.take(pa.array(take)), pa.array(np.concatenate([high[alone], high[told], high[spread]])),
-            pa.array(np.concatenate([low[alone], low[told], low[spread]])),
-            pa.array(np.concatenate([start[alone], start[told], first]).astype(np.int32)),
-            pa.array(np.concatenate([start[alone], start[told], last]).astype(np.int32)), pa.array(kinds),
-        ], names=["key", "high", "low", "start", "stop", "kind"])
+            pa.array([batch] * (n + 1), pa.binary()), pa.array([*used.tolist(), None], pa.int32()),
+            pa.array([*np.diff(asks)[used].tolist(), None], pa.int32()), pa.array([*hashes, None], pa.binary()),
+            pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(keys)], pa.int32()), keys),
+            pa.array([None] * n + [origin], pa.list_(pa.binary())),
+        ], names=["batch", "bucket", "asks", "hashes", "keys", "origin"])
 
-    keys, found, rows, size = [], [], 0, 0
-    for part in _parts(batches):
-        row, *rest = _near_anchors(one, two, part)
-        keys.append(part.column(0))
-        found.append((row + rows, *rest))
-        rows, size = rows + part.num_rows, size + len(row)
-        if size > BUFFER:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = Scanner(seed=6), Scanner(seed=66)
+        keys, found, rows, size = [], [], 0, 0
+        for part in _parts(batches):
+            row, *rest = _near_anchors(one, two, part)
+            keys.append(part.column(0))
+            found.append((row + rows, *rest))
+            rows, size = rows + part.num_rows, size + len(row)
+            if size > BUFFER:
+                yield flush(pa.concat_arrays(keys), found)
+                keys, found, rows, size = [], [], 0, 0
+        if size:
             yield flush(pa.concat_arrays(keys), found)
-            keys, found, rows, size = [], [], 0, 0
-    if size:
-        yield flush(pa.concat_arrays(keys), found)
 
+    return run
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow function over windows sorted by hash: spans of starts that are repeated, by key."""
-    names = ["key", "start", "stop"]
-    held, matched = None, False  # the last row so far, and whether the one before is equal
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        high, low, kind = (batch.column(i).to_numpy() for i in (1, 2, 5))
-        same = (high[1:] == high[:-1]) & (low[1:] == low[:-1]) & (kind[1:] != SETTLED) & (kind[:-1] != SETTLED)
-        hit = np.append(same, False) | np.append(held is not None and matched, same)
-        out = ((kind == ASKS) & hit) | (kind == SETTLED)
-        matched = bool(hit[-1])
-        held = batch.slice(batch.num_rows - 1, 1)
-        ready = batch.slice(0, batch.num_rows - 1).filter(pa.array(out[:-1]))
-        yield ready.select(names)
-    if held is not None:
-        kind = held.column(5)[0].as_py()
-        if kind == SETTLED or (kind == ASKS and matched):
-            yield held.select(names)
+
+def _match(parts: pa.Table) -> pa.Table:
+    """The hashes of one bucket to a bit for each that asks: whether it occurs again."""
+    blobs, asks = parts.column("hashes").to_pylist(), parts.column("asks").to_pylist()
+    found = np.frombuffer(b"".join(blobs), HASH)
+    high, low = found["high"].copy(), found["low"].copy()
+    order = np.lexsort((low, high))
+    same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
+    again = np.empty(len(found), bool)
+    again[order] = np.append(same, False) | np.append(False, same)
+    ends = np.cumsum([len(b) // HASH.itemsize for b in blobs])
+    bits = [np.packbits(again[e - len(b) // HASH.itemsize:][:n]).tobytes() for e, b, n in zip(ends, blobs, asks)]
+    return pa.table({"batch": parts.column("batch"), "bucket": parts.column("bucket"), "asks": parts.column("asks"), "bits": pa.array(bits, pa.binary())})
+
+
+def _answered(origins: pa.Table, replies: pa.Table) -> pa.Table:
+    """A batch's places and the replies of all buckets to (key, spans), for keys with repeated windows."""
+    keys = origins.column("keys").combine_chunks().values
+    row, start, first_row, first, last = (_unpacked(x) for x in origins.column("origin").to_pylist()[0])
+    got = sorted(zip(replies.column("bucket").to_pylist(), replies.column("asks").to_pylist(), replies.column("bits").to_pylist()))
+    bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for _, n, b in got]
+    hit = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+    row, start = row[hit], start[hit]
+    order = np.lexsort((start, row))
+    more = _spans(row[order], start[order])
+    row, first, last = (np.concatenate(x) for x in zip((first_row, first, last), more))
+    order = np.argsort(row, kind="stable")
+    row, span = row[order], ((first << 32) + last)[order]
+    used, begin = np.unique(row, return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)), pa.int32()), pa.array(span, pa.int64()))
+    keys = keys.take(pa.array(used, pa.int64()))
+    return pa.table({"id": keys.field(0), "mark": keys.field(1), "spans": lists})
 
 
 def _kept(texts: pa.Array, spans: list[np.ndarray]) -> tuple[list, list, list]:
@@ -200,8 +233,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the last of consecutive starts. Anchors stand at cover positions only, a fifth of the words. Any
     two places that share 35 words share an anchor. Anchors are counted, combined on the map side,
     and the repeated ones go back to their rows by a join that adaptive execution splits. Windows
-    around them meet by hash; tasks have combined theirs before, and a partition is read as a sorted
-    stream, so a passage may be in any share of the rows. No pairs are formed.
+    around them meet by hash, packed in buckets of about BUFFER; tasks have combined theirs before, so
+    a passage may be in any share of the rows. No pairs are formed.
     """
     kind = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -216,19 +249,24 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Rows that repeat an id have the anchors of all of them; anchors that are not their own do nothing.
     near = texts.join(hits.withColumnRenamed("id", "wanted"), F.col("id").eqNullSafe(F.col("wanted")))
     near = near.select(F.struct("id", _mark("text").alias("mark")).alias("key"), "text", "anchors")
-    key = near.schema["key"]
-    windows = near.mapInArrow(_extend, T.StructType([
-        key, T.StructField("high", T.LongType()), T.StructField("low", T.IntegerType()),
-        T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("kind", T.ByteType()),
-    ]))
-    windows = windows.repartition("high").sortWithinPartitions("high", "low", "kind")
-    spans = windows.mapInArrow(_match, T.StructType([
-        key, T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()),
+    windows = hits.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    windows = windows * PERIOD // len(COVER)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), windows // BUFFER)
+    parts = near.mapInArrow(_extend(buckets), T.StructType([
+        T.StructField("batch", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("asks", T.IntegerType()),
+        T.StructField("hashes", T.BinaryType()), T.StructField("keys", T.ArrayType(near.schema["key"].dataType)),
+        T.StructField("origin", T.ArrayType(T.BinaryType())),
     ]))
-    span = F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")
-    spans = spans.groupBy("key.id", "key.mark").agg(F.collect_list(span).alias("spans"))
-    spans = materialise(spans, "spans")
+    parts = materialise(parts, "windows")
     release(docs.sparkSession, hits)
+    replies = parts.where("bucket is not null").select("batch", "bucket", "asks", "hashes").groupBy("bucket")
+    replies = replies.applyInArrow(_match, "batch binary, bucket int, asks int, bits binary")
+    origins = parts.where("bucket is null").select("batch", "keys", "origin")
+    spans = origins.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_answered, T.StructType([
+        T.StructField("id", kind), T.StructField("mark", T.IntegerType()), T.StructField("spans", T.ArrayType(T.LongType())),
+    ]))
+    spans = materialise(spans.groupBy("id", "mark").agg(F.first("spans").alias("spans")), "spans")
+    release(docs.sparkSession, parts)
     return spans
 
 
