@@ -16,10 +16,11 @@ from panelmill.llm.scan import Scanner, shingle_sets
 from panelmill.session import materialise, release
 
 #: Retained values of a sketch, and how many of them two linked sets share at least. Of the K smallest
-#: values of a union of which 80 % are common, fewer than SHARED are common once in 10**8 pairs.
-K, SHARED = 32, 12
+#: values of a union of which 80 % are common, fewer than SHARED are common in less than one of 10**5
+#: pairs; at 85 % in less than one of 10**8.
+K, SHARED = 64, 36
 #: Retained values in which a pair has to agree before its sketches are compared.
-AGREE = 4
+AGREE = 2
 
 
 def _sets(sketch: int | None):
@@ -154,11 +155,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes.select("set_id", F.col("f.row").alias("node"), "f.none", "f.id", "f.n", "f.sketch"), "classes"
     )
     index = materialise(_index(classes), "index")
+    release(docs.sparkSession)
 
     stars = materialise(_estimated(_stars(index), classes), "pairs")
     guess = components(stars)
     others = materialise(_estimated(_across(index, guess, []), classes), "pairs")
     pairs = stars.union(others)
+    release(docs.sparkSession)
 
     used = materialise(
         pairs.select("a").union(pairs.select("b")).distinct().toDF("node").join(classes, "node").select("node", "set_id", "id"),
@@ -169,6 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = full.mapInArrow(_sets(None), _schema(kind)).select("set_id", "hashes").join(used.select("node", "set_id"), "set_id")
     full = materialise(full.dropDuplicates(["node"]).select("node", "hashes"), "full")
 
+    release(docs.sparkSession)
     links = materialise(_verified(pairs, full), "links")
     found = components(links)
     # Nodes that sketches had joined and full sets have not: their lists are paired anew.
