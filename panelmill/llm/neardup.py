@@ -19,6 +19,12 @@ from panelmill.session import materialise, release
 #: values of a union of which 80 % are common, fewer than SHARED are common in less than one of 10**5
 #: pairs; at 85 % in less than one of 10**8.
 K, SHARED = 64, 36
+#: Sets up to this size are retained whole and compared exactly.
+WHOLE = 256
+#: Members of an inverted list with which all others are compared.
+CENTRES = 2
+#: Common values of two sketches from which on they are taken as linked until confirmed.
+LIKELY = 52
 #: Retained values in which a pair has to agree before its sketches are compared.
 AGREE = 2
 
@@ -33,7 +39,7 @@ def _sets(sketch: int | None):
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 _, sets = shingle_sets(scanner, part.column(1))
-                kept = [s if sketch is None else s[:sketch] for s in sets]
+                kept = [s if sketch is None or len(s) <= WHOLE and sketch else s[:sketch] for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
                 values = np.concatenate(kept) if kept else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([
@@ -53,25 +59,28 @@ def _schema(kind: T.DataType) -> T.StructType:
     ])
 
 
-def shared_at_least(n: Column) -> Column:
-    """Values that the sketch of a set of `n` shares at least with the sketch of any linked set."""
-    return F.when(n <= int(0.8 * K), F.ceil(n * 4 / 5)).otherwise(F.lit(SHARED))
-
-
 def _index(classes: DataFrame) -> DataFrame:
     """Inverted lists (value, node, n): of each sketch the rarest values, enough for AGREE common ones.
 
-    Two linked sketches share `shared_at_least` values. In any common order of the values, their
-    first `size - shared + AGREE` then agree in AGREE at least. Rare values come first, so lists of
-    frequent values hold only sketches that have little else.
+    Sets up to WHOLE are listed whole; of n values they share 80 % at least with any linked set. Larger
+    ones, and those that may be linked with larger ones, are listed by their K smallest values, of which
+    linked sets share SHARED; the two kinds of lists are apart. In any common order of the values,
+    the first `size - shared + AGREE` of two linked sets then agree in AGREE at least. Rare values
+    come first, so lists of frequent values hold only sets that have little else.
     """
-    entries = classes.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+    n, least = F.col("n"), F.ceil(F.col("n") * 4 / 5)
+    whole = F.struct(F.lit(0).alias("kind"), F.col("sketch").alias("values"), least.cast("int").alias("shared"))
+    small = F.struct(F.lit(1).alias("kind"), F.slice("sketch", 1, K).alias("values"), F.lit(SHARED).alias("shared"))
+    kinds = F.when(n <= int(0.8 * WHOLE), F.array(whole)).when(n <= WHOLE, F.array(whole, small)).otherwise(F.array(small))
+    entries = classes.select("node", "n", F.explode(kinds).alias("k"))
+    entries = entries.select("node", "n", "k.kind", "k.shared", F.size("k.values").alias("size"), F.explode("k.values").alias("value"))
+    entries = entries.withColumn("value", F.xxhash64("kind", "value"))
     counts = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     entries = entries.join(counts, "value")
-    mine = Window.partitionBy("node")
+    mine = Window.partitionBy("node", "kind")
     place = F.row_number().over(mine.orderBy("df", "value")) + F.col("size") - F.count("*").over(mine)
-    first = F.col("size") - shared_at_least(F.col("n")) + AGREE
-    return entries.withColumn("place", place).where(F.col("place") <= first).select("value", "node", "n")
+    entries = entries.withColumn("place", place).where(F.col("place") <= F.col("size") - F.col("shared") + AGREE)
+    return entries.select("value", "node", "n")
 
 
 def _sized(a: str, b: str) -> Column:
@@ -80,12 +89,13 @@ def _sized(a: str, b: str) -> Column:
 
 
 def _stars(index: DataFrame) -> DataFrame:
-    """Each list's members with one of them, the one of smallest hash."""
-    centre = index.groupBy("value").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("c"))
-    pairs = index.join(centre, "value").where(F.col("node") != F.col("c.node")).withColumn("m", F.col("c.n"))
-    return pairs.where(_sized("n", "m")).select(
-        F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")
-    ).distinct()
+    """Each list's members with CENTRES of them, those of smallest hashes."""
+    def centre(salt: int) -> Column:
+        return F.min(F.struct(F.xxhash64("node", F.lit(salt), "value").alias("h"), "node", "n"))
+
+    centres = index.groupBy("value").agg(F.array(*[centre(i) for i in range(CENTRES)]).alias("c"))
+    pairs = index.join(centres, "value").select("node", "n", F.explode(F.array_distinct("c.node")).alias("other"))
+    return pairs.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _across(index: DataFrame, label: DataFrame, within: list[str]) -> DataFrame:
@@ -108,20 +118,23 @@ def _across(index: DataFrame, label: DataFrame, within: list[str]) -> DataFrame:
     pairs = pairs.groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(
         F.count("*").alias("agree"), F.max(F.greatest("n", "nx")).alias("larger")
     )
-    return pairs.where(F.col("agree") >= F.least(F.lit(AGREE), shared_at_least(F.col("larger")))).select("a", "b")
+    # Linked sets of more than one value have two in common at least.
+    return pairs.where((F.col("agree") >= AGREE) | (F.col("larger") == 1)).select("a", "b")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose union sketch leaves a similarity of 0.8 possible."""
+    """Pairs whose sketches leave a similarity of 0.8 possible, and whether they make it likely."""
     side = classes.select("node", "n", "sketch")
     both = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("union")))
-    whole = (F.col("na") <= K) & (F.col("nb") <= K)
-    enough = F.when(whole, 100 * F.col("inter") >= 80 * (F.col("na") + F.col("nb") - F.col("inter")))
     exact = F.size(F.array_intersect("sa", "sb"))
-    both = both.withColumn("union", union).withColumn("inter", F.when(whole, exact).otherwise(common))
-    return both.where(enough.otherwise(F.col("inter") >= SHARED)).select("a", "b")
+    ka, kb = F.slice("sa", 1, K), F.slice("sb", 1, K)
+    union = F.slice(F.array_sort(F.array_union(ka, kb)), 1, K)
+    common = F.size(F.array_intersect(F.array_intersect(ka, kb), union))
+    whole = (F.col("na") <= WHOLE) & (F.col("nb") <= WHOLE)
+    both = both.select("a", "b", "na", "nb", whole.alias("whole"), F.when(whole, exact).otherwise(common).alias("inter"))
+    linked = 100 * F.col("inter") >= 80 * (F.col("na") + F.col("nb") - F.col("inter"))
+    kept = both.where(F.when(F.col("whole"), linked).otherwise(F.col("inter") >= SHARED))
+    return kept.select("a", "b", (F.col("whole") | (F.col("inter") >= LIKELY)).alias("likely"))
 
 
 def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -158,9 +171,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(docs.sparkSession)
 
     stars = materialise(_estimated(_stars(index), classes), "pairs")
-    guess = components(stars)
+    guess = components(stars.where("likely").select("a", "b"))
     others = materialise(_estimated(_across(index, guess, []), classes), "pairs")
-    pairs = stars.union(others)
+    pairs = stars.union(others).select("a", "b")
     release(docs.sparkSession)
 
     used = materialise(
@@ -175,13 +188,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(docs.sparkSession)
     links = materialise(_verified(pairs, full), "links")
     found = components(links)
-    # Nodes that sketches had joined and full sets have not: their lists are paired anew.
+    # Nodes that likely links had joined and full sets have not: their lists are paired anew.
     split = guess.withColumnRenamed("component", "guess").join(found, "node", "left")
     split = split.withColumn("label", F.coalesce("component", "node"))
     parts = split.groupBy("guess").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
     rest = index.join(split.join(parts, "guess").select("node", "guess"), "node")
     rest = materialise(_estimated(_across(rest, found, ["guess"]), classes), "pairs")
-    more = materialise(_verified(rest, full), "links")
+    more = materialise(_verified(rest.select("a", "b"), full), "links")
     if not more.isEmpty():
         found = components(links.union(more))
     release(docs.sparkSession, index, stars, others, used, full, links, rest, more)
