@@ -20,9 +20,9 @@ from panelmill.session import materialise, release
 #: pairs; at 85 % in less than one of 10**8.
 K, SHARED = 64, 36
 #: Sets up to this size are retained whole and compared exactly.
-WHOLE = 256
+WHOLE = 192
 #: Members of an inverted list with which all others are compared.
-CENTRES = 2
+CENTRES = 5
 #: Common values of two sketches from which on they are taken as linked until confirmed.
 LIKELY = 52
 #: Retained values in which a pair has to agree before its sketches are compared.
@@ -167,6 +167,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(
         classes.select("set_id", F.col("f.row").alias("node"), "f.none", "f.id", "f.n", "f.sketch"), "classes"
     )
+    rows = materialise(sets.select("id", "n", "set_id", "row"), "rows")
+    release(docs.sparkSession, sets)
     index = materialise(_index(classes), "index")
     release(docs.sparkSession)
 
@@ -203,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = label.select("set_id", "component", "none", "id", F.col("node").alias("row"))
     heads = label.groupBy("component").agg(F.min(F.struct("none", "id", "row")).alias("head"))
     label = label.join(heads, "component").select("set_id", "head")
-    rows = sets.select("id", "n", "set_id", "row").join(label, "set_id", "left")
+    rows = rows.join(label, "set_id", "left")
     alone = F.col("n") == 0
     return rows.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
