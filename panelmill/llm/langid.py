@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from panelmill.llm.scan import flat
 
 #: Rows per language that a model is fitted on, and as many that it is calibrated on, about.
-SAMPLE = 1000
+SAMPLE = 300
 BUCKETS, WIDTH, BATCH = 1 << 15, 12, 16
 #: Passes over the rows, but as many steps at least; learning rates of embeddings and output.
 EPOCHS, STEPS, RATE, OUTPUT_RATE = 4, 1500, 40.0, 0.5
