@@ -18,41 +18,67 @@ SEQUENCE = 2048
 END = 1
 #: Tokens per step of the histogram; a piece takes whole steps when patterns are chosen.
 UNIT = 4
-#: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words whose ids a task remembers before it forgets those that it has not met since the last time.
+REMEMBERED = 300_000
+#: Words encoded in one call, and punctuation that may end a word (no apostrophe).
+TOGETHER = 200
+ENDS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTokens:
     """Ids of whole texts from ids of their words.
 
     The tokenizer drops white space and never merges over it, so ids of a text are those of its
-    words in turn. Words not seen before are encoded together.
+    words in turn. It also splits between a letter and punctuation and lower-cases, so a word that
+    ends in punctuation has the ids of its stem and of its end. New stems are encoded together.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
+        self.tokenizer, self.known, self.stems = tokenizer, {}, {}
+        self.old_known, self.old_stems = {}, {}
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _encode(self, words: list[bytes]) -> None:
         texts = [w.decode() for w in words]
         places = np.cumsum([0] + [len(t) + 1 for t in texts])
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ids = np.array(found.ids, np.uint32)
         owner = np.searchsorted(places, np.array([a for a, _ in found.offsets], np.int64), "right") - 1
-        cuts = np.searchsorted(owner, np.arange(len(words) + 1))
+        cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
         for i, w in enumerate(words):
-            self.known[w] = ids[cuts[i]:cuts[i + 1]].tobytes()
+            self.stems[w] = ids[cuts[i]:cuts[i + 1]].tobytes()
 
-    def __call__(self, text: bytes) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, bytes]:
+        """Stem and punctuation at the end; the stem ends in a letter, or is the whole word."""
+        stem = word.rstrip(ENDS)
+        if b"<|" in word or not stem or not (stem[-1:].isalpha() or stem[-1] > 127 and stem.decode()[-1].isalpha()):
+            stem = word
+        return (stem.lower() if stem.isascii() and b"<|" not in word else stem), word[len(stem):]
+
+    def learn(self, words: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        words = text.split()
-        new = list({w for w in words if w not in self.known})
-        if new:
-            self._learn(new)
-            known = self.known
-            return b"".join([known[w] for w in words])
-        return b"".join(map(self.known.__getitem__, words))
+            self.old_known, self.known = self.known, {}
+            self.old_stems, self.stems = self.stems, {}
+        new = words - self.known.keys()
+        met = new & self.old_known.keys()
+        self.known.update((w, self.old_known[w]) for w in met)
+        new = list(new - met)
+        parts = [self._parts(w) for w in new]
+        stems = {p for both in parts for p in both if p} - self.stems.keys()
+        met = stems & self.old_stems.keys()
+        self.stems.update((w, self.old_stems[w]) for w in met)
+        stems = list(stems - met)
+        for at in range(0, len(stems), TOGETHER):
+            self._encode(stems[at:at + TOGETHER])
+        self.stems[b""] = b""
+        for w, (stem, end) in zip(new, parts):
+            self.known[w] = self.stems[stem] + self.stems[end]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        split = [t.split() for t in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 def _pieces(tokenizer: str):
@@ -67,8 +93,9 @@ def _pieces(tokenizer: str):
             data, rows = flat(batch.column(1))
             for at in range(0, batch.num_rows, 1000):
                 owner, start, total, ids = [], [], [], []
-                for i in range(at, min(at + 1000, batch.num_rows)):
-                    whole = encode(data[rows[i]:rows[i + 1]].tobytes()) + end
+                some = range(at, min(at + 1000, batch.num_rows))
+                for i, whole in zip(some, encode([data[rows[i]:rows[i + 1]].tobytes() for i in some])):
+                    whole += end
                     for a in range(0, len(whole), 4 * SEQUENCE):
                         owner.append(i)
                         start.append(a // 4)
