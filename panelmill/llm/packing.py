@@ -19,7 +19,7 @@ END = 1
 #: Tokens per step of the histogram; a piece takes whole steps when patterns are chosen.
 UNIT = 4
 #: Words whose ids a task remembers before it forgets those that it has not met since the last time.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Words encoded in one call, and punctuation that may end a word (no apostrophe).
 TOGETHER = 200
 ENDS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
