@@ -27,8 +27,6 @@ CENTRES = 5
 LIKELY = 52
 #: Retained values in which a pair has to agree before its sketches are compared.
 AGREE = 2
-#: Words of 64 bits in which a sketch of K values is summed up.
-BITS = ["bits0", "bits1", "bits2", "bits3"]
 
 
 def _sets(sketch: int | None):
@@ -62,7 +60,7 @@ def _schema(kind: T.DataType) -> T.StructType:
 
 
 def _index(classes: DataFrame) -> DataFrame:
-    """Inverted lists (value, node, n, room, BITS): of each sketch the rarest values, enough for AGREE common ones.
+    """Inverted lists (value, node, n, room, before): of each sketch the rarest values, enough for AGREE common ones.
 
     Sets up to WHOLE are listed whole; of n values they share 80 % at least with any linked set. Larger
     ones, and those that may be linked with larger ones, are listed by their K smallest values, of which
@@ -70,7 +68,7 @@ def _index(classes: DataFrame) -> DataFrame:
     the first `size - shared + AGREE` of two linked sets then agree in AGREE at least. Rare values
     come first, so lists of frequent values hold only sets that have little else. `room` is the largest
     number of common values with which this one can still be among the first AGREE of them.
-    In lists of the second kind, BITS have a bit for each of the K values.
+    `before` has the high 32 bits of the node's values that come before this one.
     """
     n, least = F.col("n"), F.ceil(F.col("n") * 4 / 5)
     whole = F.struct(F.lit(0).alias("kind"), F.col("sketch").alias("values"), least.cast("int").alias("shared"))
@@ -84,20 +82,11 @@ def _index(classes: DataFrame) -> DataFrame:
     mine = Window.partitionBy("node", "kind")
     place = F.row_number().over(mine.orderBy("df", "value")) + F.col("size") - F.count("*").over(mine)
     entries = entries.withColumn("room", F.col("size") - place + AGREE).where("room >= shared")
-    sketched = F.col("kind") == 1
-    room = F.when(sketched, F.col("n")).otherwise(F.col("room")).alias("room")
-    bits = [F.when(sketched, F.col(b)).otherwise(F.lit(0)).alias(b) for b in BITS]
-    return entries.join(classes.select("node", *_bits()), "node").select("value", "node", "n", room, *bits)
-
-
-def _bits() -> list[Column]:
-    """A bit for each of the K smallest values, in as many words as BITS has names."""
-    one = "shiftleft(1L, cast(pmod(x, 64) as int))"
-    word = f"pmod(shiftright(x, 6), {len(BITS)})"
-    return [
-        F.expr(f"aggregate(slice(sketch, 1, {K}), 0L, (a, x) -> if({word} = {i}, a | {one}, a))").alias(b)
-        for i, b in enumerate(BITS)
-    ]
+    room = F.when(F.col("kind") == 0, F.col("room")).otherwise(F.col("n")).alias("room")
+    listed = entries.groupBy("node", "kind", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value", room))).alias("list"))
+    high = F.transform("list.value", lambda v: F.shiftright(v, 32).cast("int"))
+    listed = listed.select("node", "n", high.alias("high"), F.posexplode("list").alias("at", "e"))
+    return listed.select("e.value", "node", "n", "e.room", F.slice("high", F.lit(1), F.col("at")).alias("before"))
 
 
 def _sized(a: str, b: str) -> Column:
@@ -110,12 +99,6 @@ def _reached(room: str, a: str, b: str) -> Column:
     return 9 * F.col(room) >= 4 * (F.col(a) + F.col(b))
 
 
-def _alike() -> Column:
-    """Sketches of which SHARED values are common differ in no more bits than in the other values."""
-    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"x{b}"))) for b in BITS), F.lit(0))
-    return apart <= 2 * (K - SHARED)
-
-
 def _stars(index: DataFrame) -> DataFrame:
     """Each list's members with CENTRES of them, those of smallest hashes."""
     def centre(salt: int) -> Column:
@@ -127,12 +110,12 @@ def _stars(index: DataFrame) -> DataFrame:
 
 
 def _across(index: DataFrame, label: DataFrame, within: list[str]) -> DataFrame:
-    """Pairs of one list with different labels that agree in enough values.
+    """Pairs of one list with different labels that agree in AGREE values.
 
     Members of a list's most frequent label are paired with the others only, not with each other: a
-    list whose members are all linked gives none. Of the values two linked sets share, the first AGREE
-    leave each of them room for the rest, so an entry meets only sets of sizes for which its own is enough.
-    Sketches that differ in too many bits are no pair either.
+    list whose members are all linked gives none. Each pair comes once, from the list of the AGREE-th
+    value they have in common. Of the values two linked sets share, the first AGREE leave each of them
+    room for the rest, so an entry meets only sets of sizes for which its own is enough.
     """
     entries = index.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
     keys = ["value", *within]
@@ -141,17 +124,14 @@ def _across(index: DataFrame, label: DataFrame, within: list[str]) -> DataFrame:
     entries = entries.join(most.where("labels > 1"), keys)
     others = entries.where("label <> most.label").select(
         *keys, F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("room").alias("rx"),
-        *[F.col(b).alias(f"x{b}") for b in BITS],
+        F.col("before").alias("bx"),
     )
-    pairs = entries.select(*keys, "node", "n", "label", "room", *BITS, (F.col("label") == F.col("most.label")).alias("main"))
+    pairs = entries.select(*keys, "node", "n", "label", "room", "before", (F.col("label") == F.col("most.label")).alias("main"))
     pairs = others.join(pairs, keys).where(_sized("n", "nx") & (F.col("label") != F.col("lx")))
-    pairs = pairs.where(_reached("room", "n", "nx") & _reached("rx", "n", "nx") & _alike())
     pairs = pairs.where(F.col("main") | (F.col("x") < F.col("node")))
-    pairs = pairs.groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(
-        F.count("*").alias("agree"), F.max(F.greatest("n", "nx")).alias("larger")
-    )
-    # Linked sets of more than one value have two in common at least.
-    return pairs.where((F.col("agree") >= AGREE) | (F.col("larger") == 1)).select("a", "b")
+    pairs = pairs.where(_reached("room", "n", "nx") & _reached("rx", "n", "nx"))
+    pairs = pairs.where(F.size(F.array_intersect("bx", "before")) == AGREE - 1)
+    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
