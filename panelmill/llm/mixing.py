@@ -82,6 +82,40 @@ def _dealt(blocks: DataFrame) -> DataFrame:
     return draws.groupBy("source", "block").agg(shards.alias("shards"))
 
 
+def _fill(units: DataFrame) -> DataFrame:
+    """(id, source) of the documents that fill the room left after the last one that ends `within`.
+
+    Of the documents that are left, the largest that fits is taken, again and again. Where one
+    document more ends nearer the target than the best without, that one closes the source. Only
+    counts per size below twice the room matter, so a source is one row of at most as many sizes.
+    """
+    rest = units.where("size > 0 and not within")
+    line = units.groupBy("source").agg(
+        F.first("over").alias("over"), F.max(F.when(F.col("within"), F.col("start") + F.col("size"))).alias("line")
+    )
+    line = materialise(line.select("source", (F.col("over") - F.coalesce("line", F.lit(0))).alias("room")), "room")
+    near = _shared(rest.select("id", "source", "size"), line.where("room > 0"), ["source"]).where("size < 2 * room")
+    near = materialise(near, "near")
+    sizes = near.groupBy("source", "room", "size").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("source", "room").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    # error and closing: the least overshoot of one document more, and that document's size
+    picked = F.expr("""aggregate(sizes,
+        named_struct('room', room, 'takes', cast(array() as array<struct<size: bigint, take: bigint>>),
+                     'error', room, 'closing', cast(null as bigint)),
+        (s, x) -> transform(array(least(x.n, cast(floor(s.room / x.size) as bigint))), k -> named_struct(
+            'room', s.room - k * x.size,
+            'takes', if(k > 0, concat(s.takes, array(named_struct('size', x.size, 'take', k))), s.takes),
+            'error', if(k < x.n and x.size - (s.room - k * x.size) < s.error, x.size - (s.room - k * x.size), s.error),
+            'closing', if(k < x.n and x.size - (s.room - k * x.size) < s.error, x.size, s.closing)))[0])""")
+    picked = sizes.select("source", picked.alias("p")).withColumn("closes", F.col("p.error") < F.col("p.room"))
+    closed = F.expr("""concat(filter(p.takes, t -> t.size >= p.closing),
+        array(named_struct('size', p.closing, 'take', cast(1 as bigint))))""")
+    takes = picked.select("source", F.explode(F.when(F.col("closes"), closed).otherwise(F.col("p.takes"))).alias("t"))
+    takes = materialise(takes.groupBy("source", "t.size").agg(F.sum("t.take").alias("take")), "takes")
+    chosen = _shared(near.drop("room"), takes, ["source", "size"])
+    return ranked(chosen, ["source", "size"], ["id"], "rank", "mix").where("rank < take").select("id", "source")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often each document is taken so that sources come near their targets, and by which shards.
 
@@ -90,40 +124,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     a source are one document. Documents without words stay once, in no shard.
 
     A source's documents are permuted by a hash of their id and cut into blocks of BLOCK_WORDS words.
-    Its quota is every block as often as the target holds the source, then the first blocks of the
-    permutation up to what is left. Of the block that crosses this line, documents that fit are
-    taken, larger ones first. `_dealt` splits the quotas among shards. Hashes decide, so reruns agree.
+    Its quota is every block as often as the target holds the source, then the documents of the
+    permutation that end within what is left, and `_fill` for the room between the last of them and
+    the target. `_dealt` splits the quotas among shards. Hashes decide, so reruns agree.
     """
     units = _units(docs, id_col, text_col, source_col)
     sources = targets(units.groupBy("source").agg(F.sum("size").alias("source_size")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = sources.withColumn("epochs", epochs).withColumn("over", F.col("target") - F.col("epochs") * F.col("source_size"))
-    units = materialise(_shared(units, sources, ["source"]), "units")
-
-    blocks = units.where("size > 0").groupBy("source", "block").agg(
-        F.min("start").alias("first"), F.max(F.col("start") + F.col("size")).alias("last"),
-        F.first("epochs").alias("epochs"), F.first("over").alias("over"),
-    )
-    kind = F.when(F.col("last") <= F.col("over"), 2).when(F.col("first") < F.col("over"), 1).otherwise(0)
-    blocks = blocks.withColumn("part", kind)
-    blocks = materialise(blocks.withColumn("draws", (F.col("epochs") + (F.col("part") > 0).cast("int")).cast("int")), "blocks")
-
-    edge = _shared(units.where("size > 0"), blocks.where("part = 1").select("source", "block", "first"), ["source", "block"])
-    edge = edge.withColumn("room", F.col("over") - F.col("first")).where("size <= room")
-    before = Window.partitionBy("source", "block").orderBy(F.desc("size"), "start", "id").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    edge = edge.where("before + size / 2 <= room").select("id", "source", F.lit(1).alias("extra"))
-
-    rows = units.join(blocks.select(
-        F.col("source").alias("_s"), F.col("block").alias("_b"), F.when(F.col("part") == 2, 1).otherwise(0).alias("whole"),
-    ), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left").drop("_s", "_b")
-    rows = rows.join(
-        edge.select(F.col("id").alias("_i"), F.col("source").alias("_s"), "extra"),
-        F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")), "left",
-    ).drop("_i", "_s")
-    copies = F.col("epochs") + F.coalesce("whole", F.lit(0)) + F.coalesce("extra", F.lit(0))
-    rows = rows.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(copies).cast("int"))
-    shards = _dealt(blocks.select("source", "block", "draws"))
+    units = _shared(units, sources, ["source"])
+    units = materialise(units.withColumn("within", F.col("start") + F.col("size") <= F.col("over")), "units")
+
+    fill = materialise(_fill(units), "fill").select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.lit(True).alias("filled"))
+    rows = units.join(fill, F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_i", "_s")
+    extra = (F.col("within") | F.coalesce("filled", F.lit(False))).cast("int")
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + extra).cast("int")
+    rows = materialise(rows.withColumn("copies", copies), "copies")
+    blocks = rows.where("size > 0").groupBy("source", "block").agg(F.max("copies").alias("draws"))
+    shards = _dealt(blocks)
     rows = rows.join(shards.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "shards"),
                      F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
     own = F.when((F.col("size") > 0) & (F.col("copies") > 0), F.slice("shards", 1, F.greatest("copies", F.lit(1))))

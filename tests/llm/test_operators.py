@@ -187,6 +187,27 @@ def test_mixing(docs, odd, empty, rows):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [
+    {"a": [30] * 40, "b": [10] * 10, "c": [900]},
+    {"a": [5] * 30, "b": [700], "c": [60] * 9 + [1], None: [4000, 3, 9]},
+    {"a": [7, 5000, 11, 13] * 3, "b": [100, 100, 6000], "c": [1]},
+])
+def test_mixing_comes_near_the_targets(spark, sizes):
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate((s, n) for s, all_of in sizes.items() for n in all_of)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and all(len(r["shards"]) == r["copies"] for r in got)
+    for source, all_of in sizes.items():
+        mine = [r for r in got if r["source"] == source]
+        target, taken = mine[0]["target"], sum(r["taken"] for r in mine)
+        epochs = target // sum(all_of)
+        assert all(epochs <= r["copies"] <= epochs + 1 for r in mine)
+        if len(all_of) == 1:
+            assert abs(taken - target) == min(abs(k * all_of[0] - target) for k in range(3))
+        for r in mine:
+            more = r["size"] if r["copies"] == epochs and target < 2 * sum(all_of) else 0
+            assert abs(taken - target) <= abs(taken + more - target), (source, taken, target, more)
+
+
 def test_shards_of_the_tree_are_even(spark):
     blocks = spark.range(300).selectExpr("concat('s', id % 3) source", "id block", "cast(id % 2 + 1 as int) draws")
     counts = Counter(s for r in mixing._dealt(blocks).collect() for s in r["shards"])
