@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.constants import FULL_FEATURES, TARGET
+from panelmill.constants import FULL_FEATURES, MIN_ENTITY_ROWS, TARGET
 from panelmill.plans.evaluation import Evaluation
 from panelmill.plans.panel import PanelInputs
 from panelmill.session import materialise
 from panelmill.sources import driver_tables as dt
 
+# Panels start with the data; `START` is the bound that legacy_series_features shows.
+ALL_DATES = "0001-01-01"
 START = "1996-01-01"
-MIN_ROWS = 30
-REPLICAS = 200
 HALF = 0.50137
 
 
@@ -28,7 +28,7 @@ def inputs(spark: SparkSession, sf_dir: str) -> PanelInputs:
     if place not in _inputs:
         _inputs[place] = PanelInputs(
             dt.market_prices(spark, sf_dir), dt.producer_prices(spark, sf_dir), dt.input_prices(spark, sf_dir),
-            dt.macro_sources(spark, sf_dir), category=dt.INPUT_CATEGORY, start=START,
+            dt.macro_sources(spark, sf_dir), category=dt.INPUT_CATEGORY, start=ALL_DATES,
         )
     return _inputs[place]
 
@@ -42,7 +42,7 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluation(spark: SparkSession, sf_dir: str) -> Evaluation:
-    return Evaluation(dataset(spark, sf_dir), MIN_ROWS)
+    return Evaluation(dataset(spark, sf_dir), MIN_ENTITY_ROWS)
 
 
 def market_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +189,7 @@ market_panel AS (
   SELECT * FROM market_panel_all m
   WHERE EXISTS (SELECT 1 FROM producer_panel p
                 WHERE p.product_key = m.product_key AND p.provincia_key = m.provincia_key)
-    AND fecha >= DATE '{START}')"""
+    AND fecha >= DATE '{ALL_DATES}')"""
 
 JOINED = f"""{SHARED},{INPUT_PANEL},{MACRO},
 ids AS (
@@ -320,7 +320,7 @@ def baseline_sql(source: str, name: str, extra: str = "") -> str:
     parts = []
     for model, column, guard in (
         ("naive", "target_lag_1", ""),
-        ("seasonal_naive", "target_lag_12", f" AND entity_rows >= {MIN_ROWS}"),
+        ("seasonal_naive", "target_lag_12", f" AND entity_rows >= {MIN_ENTITY_ROWS}"),
         ("rolling_mean", "target_rolling_mean_3", ""),
     ):
         for fs, value in (("base", column), ("full", f"(1 - 0.1::DOUBLE) * {column} + 0.1::DOUBLE * precio_productor_usdkg_filled")):

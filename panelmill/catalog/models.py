@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelmill.catalog.common import (
-    FORECAST_STATE, OOF, PREDICTIONS, REPLICAS, SERIES_SQL, evaluation, forecast_sql, metrics_sql, query,
+    FORECAST_STATE, OOF, PREDICTIONS, SERIES_SQL, evaluation, forecast_sql, metrics_sql, query,
     rounded, sql_round, sql_rounded,
 )
+from panelmill.constants import REPLICAS
 from panelmill.operators import bootstrap, comparison, metrics
 from panelmill.operators.monitoring import attach_predictions, performance_report as performance
 from panelmill.operators.summaries import mean_across_entities, top_rows
