@@ -48,6 +48,7 @@ def csv_scan(spark, sf):
 
 
 FILES = 64
+FILE_HEADER = "c_custkey,c_name,c_mktsegment"
 
 
 def csv_after_preamble(spark, sf):
@@ -66,7 +67,28 @@ def csv_after_preamble(spark, sf):
     return rounded(series.groupBy("fecha").agg(F.count(F.lit(1)).alias("orders"), F.sum("ibc").alias("total")), 2)
 
 
-QUERIES = {f.__name__: f for f in (stored_predictions, metadata_documents, csv_scan, csv_after_preamble)}
+def written_files_header(spark, sf):
+    """Customers written as text files with up to four title lines; header and profile of each file read back."""
+    path = _place(spark, "titled")
+    rows = dt.table(spark, sf, "customer").select(
+        (F.col("c_custkey") % FILES).alias("number"), F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment").alias("line"),
+        F.lit(9).alias("place"),
+    )
+    titles = (F.col("number") % 5).cast("int")
+    heads = rows.select("number").distinct().withColumn("place", F.explode(F.sequence(F.lit(0), titles)))
+    heads = heads.withColumn("line", F.when(F.col("place") == titles, F.lit(FILE_HEADER)).otherwise(F.lit("title")))
+    whole = rows.unionByName(heads).repartition("number").sortWithinPartitions("number", "place")
+    whole.select("number", "line").write.partitionBy("number").text(path)
+    lines = files.file_lines(spark, path)
+    headers = files.header_by_width(lines)
+    return headers.join(files.file_profile(lines, headers), "file", "left").select(
+        F.regexp_extract("file", "/number=([0-9]+)/", 1).cast("long").alias("number"),
+        F.col("header_line").cast("long").alias("header_line"), "header",
+        F.coalesce("filas", F.lit(0)).alias("filas"), F.coalesce("columnas", F.lit(0)).cast("long").alias("columnas"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (stored_predictions, metadata_documents, csv_scan, csv_after_preamble, written_files_header)}
 
 ORACLES = {
     "stored_predictions": query(
@@ -77,4 +99,6 @@ ORACLES = {
     "csv_scan": "SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer",
     "csv_after_preamble": f"""SELECT make_date(year(o_orderdate), 1, 1) AS fecha, count(*) AS orders,
        {sql_round(['total'], 2).replace('total', 'sum(o_totalprice)', 1)} FROM orders GROUP BY 1""",
+    "written_files_header": f"""SELECT c_custkey % {FILES} AS number, c_custkey % {FILES} % 5 AS header_line,
+       '{FILE_HEADER}' AS header, count(*) AS filas, 3 AS columnas FROM customer GROUP BY 1, 2""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,20 +16,29 @@ BOM = r"\x{feff}"
 def file_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, block, line, value): the text lines of all files, read in splits.
 
-    `block` and `line` order the lines of a file. The scan keeps the bytes as they are; a file
-    with any line that is not valid UTF-8 is read as latin-1 as a whole.
+    `line` counts from 0 within each file, and `block` is where its split begins. The scan keeps the
+    bytes as they are; a file with any line that is not valid UTF-8 is read as latin-1 as a whole.
+    Ids run on within a split, so its first id and the lines of the splits before it number its lines.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
+        F.monotonically_increasing_id().alias("id"),
         "value",
     )
-    latin = raw.groupBy("file").agg(F.bool_or(~F.is_valid_utf8("value")).alias("latin"))
+    splits = raw.groupBy("file", "block").agg(
+        F.min("id").alias("first"), F.count(F.lit(1)).alias("lines"), F.bool_or(~F.is_valid_utf8("value")).alias("broken")
+    )
+    of_file = Window.partitionBy("file")
+    before = F.sum("lines").over(of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select(
+        "file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.bool_or("broken").over(of_file).alias("latin")
+    )
     decoded = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     text = F.when(F.col("latin"), decoded).otherwise(F.col("value"))
-    return raw.join(latin, "file").select(
-        "file", "block", "line", F.regexp_replace(F.rtrim(text, F.lit("\r")), f"^{BOM}", "").alias("value")
+    return raw.join(splits, ["file", "block"]).select(
+        "file", "block", (F.col("id") + F.col("shift")).alias("line"),
+        F.regexp_replace(F.rtrim(text, F.lit("\r")), f"^{BOM}", "").alias("value"),
     )
 
 

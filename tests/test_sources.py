@@ -50,6 +50,25 @@ def test_header_detection_and_profile(spark):
     assert [tuple(r) for r in files.file_profile(lines, headers).collect()] == [("a/precios", 1, 3)]
 
 
+def test_lines_count_from_0_in_every_file(spark, tmp_path):
+    for name, titles in (("a", 2), ("b", 0), ("c", 25)):
+        write(tmp_path / f"{name}.csv", "title\n" * titles + "x,y,z\n" + "1,2,3\n" * 50, "utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "64b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            lines = files.file_lines(spark, str(tmp_path))
+            numbers = lines.groupBy("file").agg(F.sort_array(F.collect_list("line")).alias("n")).collect()
+            headers = files.header_by_width(lines).collect()
+            rows = files.file_profile(lines, files.header_by_width(lines)).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert len(numbers) == 3 and all(r.n == list(range(len(r.n))) for r in numbers)
+        found = {r.file[-5:]: (r.header_line, r.header) for r in headers}
+        assert found == {"a.csv": (2, "x,y,z"), "b.csv": (0, "x,y,z"), "c.csv": (0, "title")}
+        assert {(r.file[-5:], r.filas, r.columnas) for r in rows} == {("a.csv", 50, 3), ("b.csv", 50, 3)}
+
+
 def test_catalog_of_tables(spark, folder):
     tables = files.load_tables(spark, {"precios": str(folder / "utf.csv")})
     assert spark.table("precios").columns == tables["precios"].columns == ["año", "producto", "precio"]
