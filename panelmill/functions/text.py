@@ -16,22 +16,37 @@ BLANKS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 )
 CASED = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]"
-# Compatibility characters of Latin text that expand to several ascii letters.
-EXPANDING = "…½¼¾™ﬀﬁﬂﬃﬄĲĳŉ"
 
 
 def _ascii(char: str) -> str:
     return unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
 
 
+@lru_cache(maxsize=1)
+def _folded() -> list[tuple[str, str]]:
+    """Every character beyond ascii that folds to ascii characters, and these."""
+    pairs = [(chr(c), _ascii(chr(c))) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    return [(a, b) for a, b in pairs if b]
+
+
 @lru_cache(maxsize=1)
 def _folding() -> tuple[str, str]:
-    """Every character of the basic plane that folds to exactly one ascii character."""
-    pairs = [(chr(c), _ascii(chr(c))) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
-    single = [(a, b) for a, b in pairs if len(b) == 1]
+    """The characters that fold to exactly one ascii character."""
+    single = [(a, b) for a, b in _folded() if len(b) == 1]
     return "".join(a for a, _ in single), "".join(b for _, b in single)
 
 
+@lru_cache(maxsize=1)
+def _expanding() -> tuple[str, str]:
+    """The characters that fold to several: as a regular-expression class, and as text of a map."""
+    several = [(a, b) for a, b in _folded() if len(b) > 1]
+    codes = [ord(a) for a, _ in several]
+    starts = [c for c in codes if c - 1 not in codes]
+    ends = [c for c in codes if c + 1 not in codes]
+    listed = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
+    return f"(?![\\x00-\\x7F])[{listed}]", "\x01".join(f"{a}\x02{b}" for a, b in several)
+
+
 def clean_text(col: Column, title: bool = False) -> Column:
     """Null to blank, runs of blanks to one space, trimmed; optionally in title case."""
     cleaned = F.trim(F.regexp_replace(F.coalesce(col.cast("string"), F.lit("")), BLANKS, " "))
@@ -56,16 +71,16 @@ def _fold_wide(values: pd.Series) -> pd.Series:
 def fold_ascii(col: Column, wide: bool = False) -> Column:
     """Compatibility decomposition to ascii; what has no ascii form is dropped.
 
-    The default stays in the JVM and covers all one-to-one foldings and the expanding
-    characters of Latin text; `wide` handles every code point in Arrow batches.
+    The default stays in the JVM; `wide` works in Arrow batches. Characters fold one by one, so both
+    agree. Those that expand are looked up only in values that hold one.
     """
     if wide:
         return _fold_wide(col)
     source, target = _folding()
-    expanded = col
-    for char in EXPANDING:
-        expanded = F.replace(expanded, F.lit(char), F.lit(_ascii(char)))
-    expanded = F.when(col.rlike(f"[{EXPANDING}]"), expanded).otherwise(col)
+    several, table = _expanding()
+    letters = F.str_to_map(F.lit(table), F.lit("\x01"), F.lit("\x02"))
+    expanded = F.array_join(F.transform(F.split(col, ""), lambda c: F.when(c > "\x7f", F.coalesce(letters[c], c)).otherwise(c)), "")
+    expanded = F.when(col.rlike(several), expanded).otherwise(col)
     folded = F.regexp_replace(F.translate(expanded, source, target), r"[^\x00-\x7F]", "")
     return F.when(col.rlike(r"[^\x00-\x7F]"), folded).otherwise(col)
 

@@ -75,6 +75,18 @@ def test_stable_forecast(spark):
     assert got == [True, False, False, True, False, True, False]
 
 
+def test_every_character_folds(spark):
+    import unicodedata
+
+    chars = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    want = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in chars}
+    some = [c for i, c in enumerate(chars) if want[c] or i % 997 == 0]
+    df = spark.createDataFrame([(f"a{c}z {c}",) for c in some], "x string").select("x", text.fold_ascii(F.col("x")).alias("y"))
+    assert [(r.x, r.y) for r in df.collect() if r.y != f"a{want[r.x[1]]}z {want[r.x[1]]}"] == []
+    odd = spark.createDataFrame([("㎏",), ("Ⅷ",), ("ﬆ",), ("10 ㎏ 𝐚",), ("…",), (None,)], "x string")
+    assert [r.k for r in odd.select(text.match_key(F.col("x")).alias("k")).collect()] == ["kg", "viii", "st", "10 kg a", "...", ""]
+
+
 def test_month_dates(spark):
     df = spark.createDataFrame(
         [("2020", "Enero"), ("2020", " ENE "), ("2020", "sept"), ("2020", None), ("x", "mayo"), ("2020.0", "DIC"), ("99999", "abr")],
