@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelmill.llm import (
-    exact, fingerprints, langid, licenses, mixing, neardup, packing, quality, substrings, toxicity,
+    alignment, exact, fingerprints, langid, licenses, mixing, neardup, negatives, packing, quality, substrings, token_counts, toxicity,
 )
 
 TOKENIZER = "word_bpe_49k.json"
+BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +86,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers lie over each other in every document."""
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_fingerprints": op2_fingerprints,
@@ -96,6 +114,9 @@ QUERIES = {
     "op8_exact": op8_exact,
     "op9_neardup": op9_neardup,
     "op10_mixing": op10_mixing,
+    "op11_negatives": op11_negatives,
+    "op12_token_counts": op12_token_counts,
+    "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -132,9 +153,23 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)"""
 
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+           AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
 ORACLES = {
     "op1_licenses": licenses.scan_sql(),
     "op6_substrings": SUBSTRINGS_SQL,
     "op8_exact": EXACT_SQL,
     "op9_neardup": NEARDUP_SQL,
+    "op11_negatives": NEGATIVES_SQL,
 }
