@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +26,23 @@ TOGETHER = 200
 ENDS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _ends_in_letter(text: str) -> bool:
+    """Whether the last character is a letter once it is composed and lower-cased."""
+    return unicodedata.normalize("NFC", text)[-1].lower()[-1].isalpha()
+
+
 class WordTokens:
     """Ids of whole texts from ids of their words.
 
     The tokenizer drops white space and never merges over it, so ids of a text are those of its
     words in turn. It also splits between a letter and punctuation and lower-cases, so a word that
-    ends in punctuation has the ids of its stem and of its end. New stems are encoded together.
+    ends in punctuation has the ids of its stem and of its end, where the stem still ends in a letter
+    when it is normalised: some letters become a letter and a mark, which goes with the punctuation.
+    New stems are encoded together.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known, self.stems = tokenizer, {}, {}
-        self.old_known, self.old_stems = {}, {}
+        self.tokenizer, self.known, self.old = tokenizer, {b"": b""}, {}
 
     def _encode(self, words: list[bytes]) -> None:
         texts = [w.decode() for w in words]
@@ -43,36 +50,41 @@ class WordTokens:
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ids = np.array(found.ids, np.uint32)
         owner = np.searchsorted(places, np.array([a for a, _ in found.offsets], np.int64), "right") - 1
-        cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-        for i, w in enumerate(words):
-            self.stems[w] = ids[cuts[i]:cuts[i + 1]].tobytes()
+        cuts = (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist()
+        data = ids.tobytes()
+        self.known.update(zip(words, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
         """Stem and punctuation at the end; the stem ends in a letter, or is the whole word."""
+        if b"<|" in word:
+            return word, b""
         stem = word.rstrip(ENDS)
-        if b"<|" in word or not stem or not (stem[-1:].isalpha() or stem[-1] > 127 and stem.decode()[-1].isalpha()):
+        if not stem or not (stem[-1:].isalpha() or stem[-1] > 127 and _ends_in_letter(stem.decode())):
             stem = word
-        return (stem.lower() if stem.isascii() and b"<|" not in word else stem), word[len(stem):]
+        return (stem.lower() if stem.isascii() else stem), word[len(stem):]
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
-            self.old_known, self.known = self.known, {}
-            self.old_stems, self.stems = self.stems, {}
-        new = words - self.known.keys()
-        met = new & self.old_known.keys()
-        self.known.update((w, self.old_known[w]) for w in met)
-        new = list(new - met)
-        parts = [self._parts(w) for w in new]
-        stems = {p for both in parts for p in both if p} - self.stems.keys()
-        met = stems & self.old_stems.keys()
-        self.stems.update((w, self.old_stems[w]) for w in met)
-        stems = list(stems - met)
+            self.old, self.known = self.known, {b"": b""}
+        known = self.known
+        new = words - known.keys()
+        if self.old:
+            met = new & self.old.keys()
+            known.update((w, self.old[w]) for w in met)
+            new -= met
+        parts = {w: self._parts(w) for w in new}
+        stems = {p for both in parts.values() for p in both} - known.keys()
+        if self.old:
+            met = stems & self.old.keys()
+            known.update((w, self.old[w]) for w in met)
+            stems -= met
+        stems = list(stems)
         for at in range(0, len(stems), TOGETHER):
             self._encode(stems[at:at + TOGETHER])
-        self.stems[b""] = b""
-        for w, (stem, end) in zip(new, parts):
-            self.known[w] = self.stems[stem] + self.stems[end]
+        for w, (stem, end) in parts.items():
+            if end or stem != w:
+                known[w] = known[stem] + known[end]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
