@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelmill.llm.scan import flat
+from panelmill.llm.scan import flat, slices
 
 #: Rows per language that a model is fitted on, and as many that it is calibrated on, about.
 SAMPLE = 300
@@ -22,7 +22,8 @@ EPOCHS, STEPS, RATE, OUTPUT_RATE = 4, 1500, 40.0, 0.5
 GRAMS = (2, 3, 4)
 #: Share of calibration rows that rejection may cost, and the score above which nothing is rejected.
 REJECTED, SURE = 0.001, 0.5
-PIECE = 1 << 20
+#: Bytes of text scanned at once, and bytes of the rows that are scored and filtered at once.
+PIECE, SLICE = 1 << 17, 1 << 18
 UNKNOWN = "und"
 
 
@@ -69,9 +70,10 @@ def _has_letter(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Rows with a letter of any script."""
     ascii_letter = np.zeros(256, bool)
     ascii_letter[65:91] = ascii_letter[97:123] = True
-    marks = np.concatenate([[0], np.cumsum(ascii_letter[data])])
-    found = marks[rows[1:]] > marks[rows[:-1]]
-    for i in np.flatnonzero(~found & (rows[1:] > rows[:-1])):
+    full = rows[1:] > rows[:-1]
+    found = np.zeros(len(full), bool)
+    found[full] = np.logical_or.reduceat(ascii_letter[data], rows[:-1][full])
+    for i in np.flatnonzero(~found & full):
         found[i] = any(c.isalpha() for c in data[rows[i]:rows[i + 1]].tobytes().decode(errors="replace"))
     return found
 
@@ -193,7 +195,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], object)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE)):
             data, rows = flat(batch.column(1))
             n, k = batch.num_rows, len(model.languages)
             sums, total = np.zeros((n, k)), np.zeros(n)
@@ -235,10 +237,10 @@ def only_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scored(model)
         at = names.index(text_col)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at, SLICE)):
             text = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(at)], names=["none", "text"])
-            verdict = next(score(iter([text])))
-            yield batch.filter(pa.compute.invert(verdict.column(verdict.num_columns - 1)))
+            rejected = pa.concat_arrays([verdict.column(verdict.num_columns - 1) for verdict in score(iter([text]))])
+            yield batch.filter(pa.compute.invert(rejected))
 
     names = docs.columns
     return docs.mapInArrow(run, docs.schema)

@@ -7,6 +7,8 @@ included: long ones are worked off in pieces of PIECE bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -37,6 +39,16 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of `batch` in slices whose column `text` has about `size` bytes; a longer text stands alone."""
+    _, rows = flat(batch.column(text))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(rows, rows[a] + size, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 class Words:
     """Hashes of the words of a batch; `offsets` says where each row's words begin."""
 
