@@ -100,9 +100,12 @@ def _reached(room: str, a: str, b: str) -> Column:
 
 
 def _stars(index: DataFrame) -> DataFrame:
-    """Each list's members with CENTRES of them, those of smallest hashes."""
+    """Each list's members with CENTRES of them, those of smallest hashes.
+
+    The hashes are of the members alone, so the lists of one family have most of their centres in common.
+    """
     def centre(salt: int) -> Column:
-        return F.min(F.struct(F.xxhash64("node", F.lit(salt), "value").alias("h"), "node", "n"))
+        return F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "n"))
 
     centres = index.groupBy("value").agg(F.array(*[centre(i) for i in range(CENTRES)]).alias("c"))
     pairs = index.join(centres, "value").select("node", "n", F.explode(F.array_distinct("c.node")).alias("other"))
