@@ -151,13 +151,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """`name`, with as many underscores before it as make it differ from all of `taken`."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def mixed(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The rows of `docs`, each as often as `plan` takes it, with `shard` and `place`, the order within."""
+    """The rows of `docs`, each as often as `plan` takes it, with `shard` and `place`, the order within.
+
+    Where `docs` has columns of these names, it keeps them and the new ones are called `_shard` and
+    `_place`. Rows that repeat an id within a source are all taken as often as their document. Null
+    ids and sources match each other. An empty table gives no rows.
+    """
     wanted = plan.where("copies > 0").select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"),
-        F.when(F.size("shards") > 0, F.col("shards")).otherwise(F.array(F.lit(None).cast("int"))).alias("_shards"),
+        F.col(id_col).alias("of"), F.col(source_col).alias("from"),
+        F.when(F.size("shards") > 0, F.col("shards")).otherwise(F.array(F.lit(None).cast("int"))).alias("shards"),
     )
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source"))
-    rows = docs.join(wanted, same)
-    rows = rows.select(*docs.columns, F.posexplode("_shards").alias("_copy", "shard"))
-    return rows.withColumn("place", F.xxhash64("shard", id_col, "_copy")).drop("_copy")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    same = F.col(f"row.{id_col}").eqNullSafe(F.col("of")) & F.col(f"row.{source_col}").eqNullSafe(F.col("from"))
+    rows = rows.join(wanted, same).select("row", F.posexplode("shards").alias("copy", "shard"))
+    shard, place = _free("shard", docs.columns), _free("place", docs.columns)
+    order = F.xxhash64("shard", f"row.{id_col}", "copy").alias(place)
+    return rows.select("row.*", F.col("shard").alias(shard), order)

@@ -181,8 +181,10 @@ def test_mixing(docs, odd, empty, rows):
         assert r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
         assert len(r["shards"]) == (r["copies"] if r["size"] else 0)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
-    rows_out = mixing.mixed(docs, mixing.mix(docs))
+    clash = docs.withColumns({c: F.lit(c) for c in ("shard", "place", "of", "copy", "shards", "_shard")})
+    rows_out = mixing.mixed(clash, mixing.mix(clash))
     assert rows_out.count() == sum(r["copies"] for r in got)
+    assert rows_out.columns == [*clash.columns, "__shard", "_place"] and rows_out.first()["shard"] == "shard"
     assert mixing.mix(odd).agg(F.sum("size")).first()[0] == sum(len((r["text"] or "").encode().split()) for r in odd.collect())
     assert mixing.mix(empty).count() == 0
 
@@ -310,7 +312,7 @@ def test_pipeline_stages(spark, odd, empty):
     import corpus_pipeline
 
     for start in (odd, empty):
-        docs = start.drop("id", "n", "row", "size")
+        docs = start
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             got = stage(spark, docs, "")
             if k < len(corpus_pipeline.STAGES) - 1:
