@@ -169,7 +169,7 @@ QUERIES = {
 FULL_PREDICTIONS = f"{PREDICTIONS},\nfull_predictions AS (SELECT * FROM predictions WHERE feature_set = 'full')"
 
 
-def _common(source: str, name: str) -> str:
+def common_sql(source: str, name: str) -> str:
     return f"""
 {name}_keys AS (
   SELECT k.product_id, producto, provincia, fecha
@@ -179,7 +179,7 @@ def _common(source: str, name: str) -> str:
 {name} AS (SELECT s.* FROM {source} s JOIN {name}_keys USING (product_id, producto, provincia, fecha))"""
 
 
-COMMON = f"{FULL_PREDICTIONS},{_common('full_predictions', 'matched')}"
+COMMON = f"{FULL_PREDICTIONS},{common_sql('full_predictions', 'matched')}"
 
 OPERATIONAL = f"""{OOF},
 op_last AS (SELECT * FROM bounds WHERE fold = windows),
@@ -294,7 +294,7 @@ FROM (SELECT f.product_id, model_name, k, count(*) - k AS lost FROM full_predict
 GROUP BY 1""",
     ),
     "common_validation_window": query(
-        f"""{OOF}, full_oof AS (SELECT * FROM oof WHERE feature_set = 'full'),{_common('full_oof', 'matched')},
+        f"""{OOF}, full_oof AS (SELECT * FROM oof WHERE feature_set = 'full'),{common_sql('full_oof', 'matched')},
 m AS ({metrics_sql('matched', SERIES_SQL)})""",
         f"""SELECT {SERIES_SQL}, {sql_rounded('rmse')} AS validation_rmse_common, {sql_rounded('mae')} AS validation_mae_common,
        {sql_rounded('mape')} AS validation_mape_common, n_test AS n FROM m""",

@@ -2,23 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from panelmill.catalog.common import dataset, evaluation, rounded
-from panelmill.constants import BASE_FEATURES, ENTITY_EXOGENOUS, TARGET
-from panelmill.operators import arx, comparison, metrics, trees
-from panelmill.operators.splits import fold_bounds
+from panelmill.catalog.common import evaluation, rounded
+from panelmill.operators import comparison, metrics
 from panelmill.plans.training import fit_sequences
-from panelmill.session import materialise
-
-# Small forests: the queries show the whole path, not the tuned size.
-SMALL = {"trees": 3, "depth": 2, "step": 0.3}
-SMALL_GRID = [SMALL, {"trees": 4, "depth": 2, "step": 0.2}]
-
-
-def _train(spark, sf):
-    return evaluation(spark, sf).split.where("split = 'train'")
-
 
 def sequence_scores(spark, sf):
     return rounded(fit_sequences(evaluation(spark, sf).split).scores, 3)
@@ -36,74 +22,5 @@ def sequence_common_window(spark, sf):
     return rounded(comparison.common_validation_window(fitted.unionByName(baselines)), 3)
 
 
-def arx_per_entity(spark, sf):
-    ev = evaluation(spark, sf)
-    made = arx.fit_entities(ev.split, ev.bounds)
-    return rounded(made, 3)
-
-
-def arx_metrics(spark, sf):
-    """Test metrics of the entity models, base and with exogenous inputs."""
-    ev = evaluation(spark, sf)
-    parts = []
-    for name, inputs in (("base", []), ("full", ENTITY_EXOGENOUS)):
-        made = arx.fit_entities(ev.split, ev.bounds, inputs).where("part = 'test'")
-        parts.append(made.withColumns({"feature_set": F.lit(name), "model_name": F.lit("arx")}))
-    rows = trees.union_all(parts).withColumnsRenamed({"product_key": "product_id", "provincia_key": "provincia"})
-    return rounded(metrics.regression_metrics(rows, metrics.SERIES), 3)
-
-
-def arx_rolling_origins(spark, sf):
-    ev = evaluation(spark, sf)
-    orders = arx.fit_entities(ev.split, ev.bounds).select("product_key", "provincia_key", "orders").distinct()
-    return rounded(arx.rolling_origins(ev.split, materialise(orders, "orders")), 3)
-
-
-def arx_future(spark, sf):
-    """Six months beyond the data for every product and province."""
-    ev = evaluation(spark, sf)
-    orders = arx.fit_entities(ev.split, ev.bounds).select("product_key", "provincia_key", "orders").distinct()
-    return rounded(arx.future_forecasts(ev.split, orders), 3)
-
-
-def gbt_pooled(spark, sf):
-    """One boosted model per product over all its provinces, scored on its holdout."""
-    split = materialise(evaluation(spark, sf).split, "split", ["product_key"])
-    models = trees.fit_by_product(split.where("split = 'train'"), BASE_FEATURES, SMALL)
-    made = trees.score_by_product(models, split.where("split = 'test'"), 0.1)
-    return rounded(made.select("product_key", "provincia", "fecha", F.col(TARGET).alias("y_true"), "y_pred_raw", "y_pred"), 3)
-
-
-def gbt_grid(spark, sf):
-    """Parameters and blend weights scored on folds of the whole panel's calendar."""
-    split = evaluation(spark, sf).split
-    train = materialise(split.where("split = 'train'").withColumn("panel", F.lit("all")), "train")
-    bounds = fold_bounds(train, ["panel"])
-    return rounded(trees.grid_scores(train, bounds, BASE_FEATURES, ["panel"], SMALL_GRID), 3)
-
-
-def feature_importance(spark, sf):
-    """Ranked importances of one model over the whole panel."""
-    model = trees.fit_trees(_train(spark, sf), BASE_FEATURES, SMALL)
-    return comparison.importance_table(trees.importances(model, spark, BASE_FEATURES, "all", "base"))
-
-
-def stored_model_scores(spark, sf):
-    """A model written to the scratch folder, read back and applied to the whole dataset."""
-    import uuid
-
-    from panelmill.session import scratch_dir
-
-    path = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
-    trees.save_model(trees.fit_trees(_train(spark, sf), BASE_FEATURES, SMALL), path)
-    return rounded(trees.predict_stored(path, dataset(spark, sf), 0.1), 3)
-
-
-QUERIES = {
-    f.__name__: f
-    for f in (
-        sequence_scores, sequence_regression, sequence_common_window, arx_per_entity, arx_metrics, arx_rolling_origins,
-        arx_future, gbt_pooled, gbt_grid, feature_importance, stored_model_scores,
-    )
-}
+QUERIES = {f.__name__: f for f in (sequence_scores, sequence_regression, sequence_common_window)}
 ORACLES: dict[str, str] = {}

@@ -125,10 +125,26 @@ def origin_state(df: DataFrame, keys: list[str] | None = None, target: str = TAR
     )
 
 
-def recursive_forecast(state: DataFrame, predictors: dict[str, Predictor], steps: int = max(HORIZONS)) -> DataFrame:
+def latest_state(df: DataFrame, keys: list[str] | None = None, target: str = TARGET) -> DataFrame:
+    """Per entity: what is known after its last row, from which months beyond the data are forecast."""
+    keys = ENTITY if keys is None else keys
+    spec = entity_window(keys)
+    known = [c for c in CARRIED if c in df.columns]
+    state = df.select(
+        *keys, F.col("fecha").alias("history_date"), F.lead("fecha").over(spec).alias("next__"),
+        F.collect_list(F.col(target)).over(spec.rowsBetween(-HISTORY + 1, 0)).alias("history"),
+        F.struct(*[F.col(c) for c in known]).alias("last_known"),
+    )
+    return state.where("next__ is null").drop("next__")
+
+
+def recursive_forecast(
+    state: DataFrame, predictors: dict[str, Predictor], steps: int = max(HORIZONS), keep: list[str] | None = None
+) -> DataFrame:
     """Adds `forecasts`: a (model, horizonte, fecha_objetivo, y_pred) entry per predictor and step.
 
-    Each step's prediction is appended to the history the next step sees.
+    Each step's prediction is appended to the history the next step sees. With `keep`, entries also
+    hold these columns of the future row that the predictor saw.
     """
     known = [f.name for f in state.schema["last_known"].dataType.fields if f.name != "none__"]
     current, entries, temporary = state, [], []
@@ -138,13 +154,15 @@ def recursive_forecast(state: DataFrame, predictors: dict[str, Predictor], steps
         for i, (name, predictor) in enumerate(predictors.items()):
             earlier = [F.col(f"p__{i}_{s}") for s in range(1, step)]
             history = F.concat("history", F.array(*earlier)) if earlier else F.col("history")
-            made[f"p__{i}_{step}"] = predictor(future_features("last_known", known, history, date))
+            features = future_features("last_known", known, history, date)
+            made[f"p__{i}_{step}"] = predictor(features)
             entries.append(
                 F.struct(
                     F.lit(name).alias("model"),
                     F.lit(step).alias("horizonte"),
                     date.alias("fecha_objetivo"),
                     F.col(f"p__{i}_{step}").alias("y_pred"),
+                    *[features[c].alias(c) for c in keep or ()],
                 )
             )
         current = current.withColumns(made)  # one projection per step for all predictors
@@ -153,8 +171,12 @@ def recursive_forecast(state: DataFrame, predictors: dict[str, Predictor], steps
 
 
 def explode_forecasts(forecasts: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per step that has an actual value among the `coming` rows."""
-    rows = forecasts.select(*keep, "coming", F.inline("forecasts"))
+    """One row per step that has an actual value among the `coming` rows.
+
+    The array is never empty. From a generator that is not outer, the optimiser would infer a test of its
+    size, and push it with all that the entries are made of below every step.
+    """
+    rows = forecasts.select(*keep, "coming", F.inline_outer("forecasts"))
     match = F.filter("coming", lambda c: c["f"] == F.col("fecha_objetivo"))
     return (
         rows.withColumn("actual", F.try_element_at(match, F.lit(1)))
@@ -164,18 +186,22 @@ def explode_forecasts(forecasts: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def rolling_origin_forecasts(
-    split: DataFrame, predictors: dict[str, Predictor], keys: list[str] | None = None, steps: int = max(HORIZONS)
+    split: DataFrame, predictors: dict[str, Predictor], keys: list[str] | None = None, steps: int = max(HORIZONS),
+    prepare: Callable[[DataFrame], DataFrame] = lambda state: state,
 ) -> DataFrame:
-    """Forecasts from every test date, using only rows before it."""
+    """Forecasts from every test date, using only rows before it.
+
+    `prepare` may add what predictors need to the states, such as their fitted models.
+    """
     keys = ENTITY if keys is None else keys
-    origins = origin_state(split, keys, ahead=steps).where("split = 'test' and history_date is not null")
+    origins = prepare(origin_state(split, keys, ahead=steps).where("split = 'test' and history_date is not null"))
     made = recursive_forecast(origins.withColumnRenamed("fecha", "fecha_origen"), predictors, steps)
     return explode_forecasts(made, [*keys, "fecha_origen"])
 
 
 def operational_forecasts(
     train: DataFrame, bounds: DataFrame, predictors: dict[str, Predictor], keys: list[str] | None = None,
-    group: list[str] | None = None, steps: int = max(HORIZONS),
+    group: list[str] | None = None, steps: int = max(HORIZONS), prepare: Callable[[DataFrame], DataFrame] = lambda state: state,
 ) -> DataFrame:
     """Forecasts of each entity from the end of its product's last training fold."""
     keys = ENTITY if keys is None else keys
@@ -186,5 +212,5 @@ def operational_forecasts(
     state = origin_state(inside, keys, ahead=steps)
     state = state.withColumn("before__", F.lag("fecha").over(spec))
     first_after = (F.col("fecha") > F.col("train_end")) & (F.col("before__") <= F.col("train_end"))
-    made = recursive_forecast(state.where(first_after), predictors, steps)
+    made = recursive_forecast(prepare(state.where(first_after)), predictors, steps)
     return explode_forecasts(made, [*keys])

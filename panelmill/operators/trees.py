@@ -1,4 +1,7 @@
-"""Pooled boosted trees with Spark ML: one model over all entities of a product."""
+"""Boosted trees with Spark ML: one model over all rows it is given, for panels whose trees have to grow large.
+
+`forest` fits a model per product, set and fold together; this is the library's learner, one fit a call.
+"""
 
 from __future__ import annotations
 
@@ -44,11 +47,6 @@ def fit_each(parts: dict, fit) -> dict:
         return dict(zip(parts, pool.map(fit, parts.values()), strict=True))
 
 
-def product_ids(df: DataFrame) -> list[str]:
-    """The products to fit: one model is fitted for each, so they are few by nature."""
-    return sorted(r[0] for r in df.select("product_key").distinct().collect())
-
-
 def union_all(parts: list[DataFrame]) -> DataFrame:
     combined = parts[0]
     for part in parts[1:]:
@@ -56,15 +54,6 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return combined
 
 
-def fit_by_product(train: DataFrame, features: list[str], params: dict, products: list[str] | None = None) -> dict[str, PipelineModel]:
-    parts = {p: train.where(F.col("product_key") == p) for p in products or product_ids(train)}
-    return fit_each(parts, lambda part: fit_trees(part, features, params))
-
-
-def score_by_product(models: dict[str, PipelineModel], rows: DataFrame, weight: float = 0.0) -> DataFrame:
-    return union_all([score(m, rows.where(F.col("product_key") == p), weight) for p, m in models.items()])
-
-
 def grid_scores(
     dev: DataFrame, bounds: DataFrame, features: list[str], by: list[str], grid: list[dict] = TREE_GRID,
     weights: list[float] = BLEND_WEIGHTS, target: str = TARGET,

@@ -104,7 +104,12 @@ class Evaluation:
     @cached_property
     def metrics(self) -> DataFrame:
         """Test metrics of every (product, model, feature set) with both validation errors."""
-        test = regression_metrics(self.predictions, SERIES)
-        validation = mean_of_window_rmse(self.oof, SERIES, ["fold"], "validation_rmse_mean")
-        operational = pooled_rmse(self.operational.where("y_pred is not null"), SERIES, "operational_rmse_mean")
-        return test.join(validation, SERIES, "left").join(operational, SERIES, "left")
+        return joined_metrics(self.predictions, self.oof, self.operational)
+
+
+def joined_metrics(predictions: DataFrame, oof: DataFrame, operational: DataFrame) -> DataFrame:
+    """Test metrics of every series in `predictions`, with its errors on folds and from their last end."""
+    test = regression_metrics(predictions, SERIES)
+    validation = mean_of_window_rmse(oof, SERIES, ["fold"], "validation_rmse_mean")
+    pooled = pooled_rmse(operational.where("y_pred is not null"), SERIES, "operational_rmse_mean")
+    return test.join(validation, SERIES, "left").join(pooled, SERIES, "left")

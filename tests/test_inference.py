@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelmill.operators import arx, bootstrap, horizons, monitoring, ranking, ridge, trees
+from panelmill.operators import bootstrap, horizons, monitoring, ranking, ridge, trees
 from panelmill.operators.splits import fold_bounds, holdout
 
 PREDICTED = "product_id string, model_name string, feature_set string, producto string, provincia string, fecha date, y_true double, y_pred double"
@@ -178,30 +178,6 @@ def test_ridge_from_sums(spark):
             np.testing.assert_allclose(got[c, penalty], want, rtol=1e-5)
 
 
-def test_arx_forecast_recovers_a_trend():
-    y = 5 + 0.5 * np.arange(60) + np.tile([0.0, 1.0, -1.0], 20)
-    made = arx.forecast(y, None, None, 3, (1, 1, 0), (0, 0, 0, 0))
-    assert arx.is_stable(made, y) and np.all(np.abs(made - (5 + 0.5 * np.arange(60, 63))) < 2)
-    seasonal = 10 + np.tile(np.arange(12.0), 6)
-    made = arx.forecast(seasonal, None, None, 12, (1, 1, 0), (1, 0, 0, 12))
-    np.testing.assert_allclose(made, seasonal[:12], atol=0.5)
-    with pytest.raises(ValueError):
-        arx.forecast(y[:8], None, None, 3, (1, 1, 1), (1, 0, 1, 12))
-
-
-def test_arx_entities(spark, panel):
-    split = holdout(panel.withColumn("entity_rows", F.lit(30)))
-    bounds = fold_bounds(split.where("split = 'train'"))
-    made = arx.fit_entities(split, bounds, ["precio_productor_usdkg_filled"]).toPandas()
-    test = made[made.part == "test"]
-    assert set(test.provincia_key) == {"a", "b"} and np.isfinite(test.y_pred).all()
-    assert (np.abs(test.y_true - test.y_pred) < 5).all() and set(made.part) <= {"test", "validation", "operational"}
-    assert made[made.part == "operational"].groupby("provincia_key").size().le(3).all()
-    orders = spark.createDataFrame([("p", e, "(1, 1, 0)x(0, 0, 0, 0)".replace(" ", "")) for e in "ab"], "product_key string, provincia_key string, orders string")
-    ahead = arx.rolling_origins(split, orders).toPandas()
-    assert (ahead.groupby(["provincia_key", "fecha_origen"]).horizonte.max() <= 3).all() and ahead.y_pred.between(0, 50).all()
-
-
 def test_trees(spark, tmp_path):
     rng = np.random.default_rng(6)
     rows = [("p", d, "A", "P", float(x), float(x > 0) + 5.0) for d in months(24) for x in rng.normal(size=6)]
@@ -212,11 +188,11 @@ def test_trees(spark, tmp_path):
     assert scores.count() == 2
     best = trees.best_candidate(scores, ["product_key"]).collect()[0]
     assert best.blend_weight == 0.0 and best.validation_rmse_mean < 0.3
-    models = trees.fit_by_product(df, ["target_lag_1"], params)
-    assert trees.score_by_product(models, df).where("abs(y_pred - target_precio_mercado_usdkg) > 0.5").count() < 5  # binned split points
-    trees.save_model(models["p"], str(tmp_path / "m"))
+    model = trees.fit_trees(df, ["target_lag_1"], params)
+    assert trees.score(model, df).where("abs(y_pred - target_precio_mercado_usdkg) > 0.5").count() < 5  # binned split points
+    trees.save_model(model, str(tmp_path / "m"))
     assert trees.predict_stored(str(tmp_path / "m"), df, 0.0, "a").count() == df.count()
-    assert trees.importances(models["p"], spark, ["target_lag_1"], "p", "base").collect()[0].importance == pytest.approx(1.0)
+    assert trees.importances(model, spark, ["target_lag_1"], "p", "base").collect()[0].importance == pytest.approx(1.0)
 
 
 def test_drift(spark):
