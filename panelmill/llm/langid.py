@@ -181,15 +181,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", docs.schema[lang_col].dataType),
         T.StructField("fit", T.BooleanType()), T.StructField("buckets", T.BinaryType()), T.StructField("shares", T.BinaryType()),
     ])
-    found = rows.select("id", "text", "label", part.alias("fit")).mapInArrow(_features, schema).toPandas()
-    found = found.sort_values(["label", "id"], kind="stable").reset_index(drop=True)
-    languages = sorted(found["label"].unique())
-    counts = [
-        (np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(s, np.float32))
+    found = rows.select("id", "text", "label", part.alias("fit")).mapInArrow(_features, schema).toArrow()
+    found = found.sort_by([("label", "ascending"), ("id", "ascending")]).combine_chunks()
+    names = found["label"].to_pylist()
+    languages = sorted(set(names))
+    number = {name: i for i, name in enumerate(languages)}
+    counts = [  # views of the Arrow buffers
+        (np.frombuffer(b.as_buffer(), np.uint16), np.frombuffer(s.as_buffer(), np.float32)) if len(b.as_buffer()) else (np.zeros(0, np.uint16), np.zeros(0, np.float32))
         for b, s in zip(found["buckets"], found["shares"])
     ]
-    labels = np.searchsorted(np.array(languages, object), found["label"].to_numpy(object)) if languages else np.zeros(0, int)
-    return train(counts, labels, found["fit"].to_numpy(bool), languages)
+    labels = np.array([number[name] for name in names], np.int64)
+    return train(counts, labels, np.array(found["fit"].to_pylist(), bool), languages)
 
 
 def _scored(model: Model):
