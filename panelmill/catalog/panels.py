@@ -108,7 +108,7 @@ def feature_dataset(spark, sf):
 def feature_dataset_base(spark, sf):
     from panelmill.sources.store import load_bundle
 
-    bundle = load_bundle(inputs(spark, sf).dataset(), "base", check=False)
+    bundle = load_bundle(inputs(spark, sf).dataset(), "base", check="plan")
     return rounded(bundle.data.select(*KEYS, bundle.target, *bundle.features), 4)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["panels", "splits", "models", "exploration", "storage", "training", "fitted", "seasonal"]
+MODULES = ["panels", "splits", "models", "exploration", "storage", "training", "fitted", "seasonal", "artifacts"]
 
 
 def _modules():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.constants import REQUIRED_DATASET_COLUMNS, TARGET
@@ -28,3 +28,30 @@ def validate_dataset(df: DataFrame, features: list[str], target: str = TARGET, d
     if problems:
         raise ValueError(f"missing values: {({r['column']: r['nulls'] for r in problems})}")
     return df
+
+
+def enforce(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """`df`, whose plan fails with `message` at the first row that does not meet `condition`."""
+    return df.where(F.coalesce(F.assert_true(F.coalesce(condition, F.lit(False)), message).cast("boolean"), F.lit(True)))
+
+
+def enforce_dataset(df: DataFrame, features: list[str], target: str = TARGET, date: str = "fecha") -> DataFrame:
+    """The dataset, checked while it is read: columns and types now, missing values in the pass that uses it."""
+    require_columns(df, list(dict.fromkeys([*REQUIRED_DATASET_COLUMNS, *features, target, date])), "dataset")
+    wrong = non_numeric(df, [*features, target])
+    if wrong:
+        raise ValueError(f"columns are not numeric: {wrong}")
+    for c in dict.fromkeys([date, *features, target]):
+        df = enforce(df, F.col(c).isNotNull(), f"missing values: {c}")
+    return df
+
+
+def select_or_fail(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """Rows that meet `condition`; the query fails with `message` if there are none, instead of giving no rows.
+
+    The count that decides is one more aggregate in the same plan; nothing is collected.
+    """
+    wanted = df.where(condition)
+    n = F.col("n__")
+    guard = df.agg(F.count_if(condition).alias("n__")).where(F.when(n == 0, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(False)))
+    return wanted.unionByName(guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))

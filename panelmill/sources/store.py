@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelmill.constants import FEATURES_BY_SET, TARGET
-from panelmill.operators.contracts import validate_dataset
+from panelmill.operators.contracts import enforce_dataset, validate_dataset
 
 KEYS = ["product_id", "model_name", "feature_set"]
 
@@ -21,6 +21,32 @@ def save_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_ordered(df: DataFrame, path: str, order: list[str]) -> None:
+    """Globally sorted files: ranges of the order go to numbered files, and each file is sorted."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of `write_ordered` with `position` (from 1) in file order: counts per file give each its first
+    position, so nothing is sorted again."""
+    rows = spark.read.parquet(path)
+    rows = rows.select("*", F.col("_metadata.file_name").alias("file__"), F.col("_metadata.row_index").alias("row__"))
+    counts = rows.groupBy("file__").agg(F.count(F.lit(1)).alias("n__"))
+    before = Window.orderBy("file__").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    first = counts.select("file__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("first__"))
+    return rows.join(first, "file__").withColumn("position", F.col("first__") + F.col("row__") + 1).drop("file__", "row__", "first__")
+
+
+def write_artifact(df: DataFrame, path: str, kind: str) -> None:
+    """One kind of metrics below `path`, with whatever columns it has."""
+    df.write.mode("overwrite").parquet(f"{path}/kind={kind}")
+
+
+def scan_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """All metrics below `path`, by name: a column that a kind lacks is null there."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
 def read_json(spark: SparkSession, path: str, schema=None, one_per_file: bool = False) -> DataFrame:
     """JSON documents, one per line as `save_json` writes them or one per file."""
     reader = spark.read.option("multiLine", one_per_file)
@@ -70,14 +96,15 @@ def feature_list(metadata: dict | None, feature_set: str) -> list[str]:
     return list(metadata.get(f"{feature_set}_model_features", metadata.get("recommended_model_features", [])))
 
 
-def load_bundle(df: DataFrame, feature_set: str = "full", metadata: dict | None = None, check: bool = True) -> FeatureBundle:
+def load_bundle(df: DataFrame, feature_set: str = "full", metadata: dict | None = None, check: bool | str = True) -> FeatureBundle:
+    """The dataset with its features. `check` tests the contract at once, or in the plan if it is "plan"."""
     metadata = metadata or {}
     features = feature_list(metadata or None, feature_set)
     target = metadata.get("target_column", TARGET)
     date = metadata.get("date_column", "fecha")
     dated = df.withColumn(date, F.col(date).try_cast("date"))
     if check:
-        validate_dataset(dated, features, target, date)
+        dated = (enforce_dataset if check == "plan" else validate_dataset)(dated, features, target, date)
     return FeatureBundle(dated, features, target, date, feature_set)
 
 

@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelmill.constants import CALENDAR_FEATURES, FULL_FEATURES, TARGET, TARGET_LAG_FEATURES
-from panelmill.operators import forest, seasonal
+from panelmill.operators import contracts, forest, seasonal
 from panelmill.operators.forest import TreeParams
 from panelmill.operators.horizons import latest_state, recursive_forecast
 from panelmill.operators.windows import add_lag_features
+from panelmill.plans.runner import Runner
+from panelmill.sources import store
 
 PARAMS = TreeParams(rounds=5, depth=3, step=0.4, penalty=1.0, min_rows=3, bins=8)
 
@@ -132,3 +134,35 @@ def test_future_rows_equal_the_feature_builder(spark):
             assert r[c] == pytest.approx(want[c]), (c, r.horizonte)
         assert r.mes_num == r.fecha_objetivo.month and r.trimestre == (r.fecha_objetivo.month + 2) // 3
         assert all(r[c] == last[r.provincia_key][4 + i] for i, c in enumerate(names))
+
+
+def test_contract_in_the_plan(spark):
+    rows = [(dt.date(2020, 1, 1), "A", 0, 1.0), (None, "A", 0, 1.0)]
+    df = spark.createDataFrame(rows, f"fecha date, provincia string, provincia_id int, {TARGET} double")
+    checked = contracts.enforce_dataset(df, ["provincia_id"])
+    with pytest.raises(Exception, match="missing values: fecha"):
+        checked.count()
+    assert contracts.enforce_dataset(df.where("fecha is not null"), ["provincia_id"]).count() == 1
+    assert contracts.enforce_dataset(df.limit(0), ["provincia_id"]).count() == 0
+    with pytest.raises(ValueError):
+        contracts.enforce_dataset(df.drop("provincia"), ["provincia_id"])
+    assert contracts.select_or_fail(df, F.lower("provincia") == "a", "none").count() == 2
+    with pytest.raises(Exception, match="no such province"):
+        contracts.select_or_fail(df, F.col("provincia") == "B", "no such province").count()
+
+
+def test_runner_records_every_stage(spark, tmp_path):
+    run = Runner(spark, str(tmp_path))
+    run.run("p", "m", "base", lambda: spark.range(7))
+    run.run("p", "m", "full", lambda: contracts.select_or_fail(spark.range(7), F.col("id") > 9, "nothing left"))
+    run.run("p", "n", "base", lambda: spark.table("absent"))
+    rows = run.status().collect()
+    assert [(r.status, r.rows) for r in rows] == [("ok", 7), ("error", None), ("error", None)]
+    assert rows[1].error == "nothing left" and "absent" in rows[2].error
+
+
+def test_ordered_files(spark, tmp_path):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), F.lit("x").alias("v")).repartition(5)
+    store.write_ordered(df, str(tmp_path / "t"), ["k"])
+    back = store.read_ordered(spark, str(tmp_path / "t")).collect()
+    assert len(back) == 1000 and all(r.position == r.k + 1 for r in back)
