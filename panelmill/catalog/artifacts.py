@@ -17,7 +17,7 @@ from panelmill.plans.runner import Runner
 from panelmill.session import scratch_dir
 from panelmill.sources import store
 
-PROVINCE = "nation_14"
+PROVINCE = "nation_19"
 ORDER = ["fecha", "provincia", "product_id", "model_name", "feature_set"]
 FAILING = "no such province"
 

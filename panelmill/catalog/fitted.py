@@ -49,7 +49,8 @@ def forest_nodes(spark, sf):
 
 def forest_metadata(spark, sf):
     """What is stored beside the node table for every model."""
-    return forests(spark, sf).metadata().drop("params")
+    facts = forests(spark, sf).metadata().drop("params")
+    return facts.withColumn("features", F.concat_ws(",", "features"))
 
 
 def gbt_pooled(spark, sf):
@@ -356,7 +357,7 @@ ORACLES = {
 FROM f_nodes JOIN f_models USING (m)"""),
     "forest_metadata": query(FIT, f"""SELECT product_key, feature_set, fold, max(tree) AS trees, count(feature) AS splits,
        max(rows) FILTER (tree = 0) AS training_rows, max(value) FILTER (tree = 0) AS start_value, 'trees' AS model_name, '{TARGET}' AS target,
-       CASE feature_set WHEN 'base' THEN {NAMED}[1:{len(BASE_FEATURES)}] ELSE {NAMED} END AS features
+       array_to_string(CASE feature_set WHEN 'base' THEN {NAMED}[1:{len(BASE_FEATURES)}] ELSE {NAMED} END, ',') AS features
 FROM f_nodes JOIN f_models USING (m) GROUP BY product_key, feature_set, fold"""),
     "gbt_pooled": query(TESTED, f"SELECT product_id, provincia, fecha, feature_set, {sql_round(['y_true', 'y_pred'], 4)} FROM t_made"),
     "gbt_validation": query(VALIDATED, f"SELECT product_id, provincia, fecha, fold, feature_set, {sql_round(['y_true', 'y_pred'], 4)} FROM v_made"),
