@@ -6,9 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from panelmill.llm import (
-    alignment, exact, fingerprints, langid, licenses, mixing, neardup, negatives, packing, quality, substrings, token_counts, toxicity,
+    alignment, exact, fingerprints, langid, licenses, mixing, neardup, negatives, packing, pipeline, quality, substrings, token_counts, toxicity,
 )
 
 TOKENIZER = "word_bpe_49k.json"
@@ -117,7 +116,7 @@ QUERIES = {
     "op11_negatives": op11_negatives,
     "op12_token_counts": op12_token_counts,
     "op13_alignment": op13_alignment,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
