@@ -6,6 +6,8 @@ number of distinct values and not by the number of rows, and no group is gathere
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +92,10 @@ def with_bucket(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
     """
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = df.agg(F.percentile_approx(order, shares, F.lit(1000)).alias("edges")).scalar()
-    place = F.size(F.filter(F.coalesce("edges__", F.array().cast("array<double>")), lambda e: e < F.col(order)))
+    # No lambda over the ordering column: where the frame is joined with its own totals, the optimiser copies
+    # such a lambda to the side that lacks the column.
+    passed = [F.coalesce(F.try_element_at("edges__", F.lit(i)) < F.col(order), F.lit(False)).cast("int") for i in range(1, buckets)]
+    place = reduce(lambda a, b: a + b, passed)
     return df.withColumn("edges__", edges).withColumn("bucket__", place).drop("edges__")
 
 
