@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 
@@ -26,11 +27,61 @@ TOGETHER = 200
 ENDS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: Words of letters below this one are encoded by ranks; all of them have the same lower case in every library.
+RANKED_BELOW = "\u0250"
+
+
 def _ends_in_letter(text: str) -> bool:
     """Whether the last character is a letter once it is composed and lower-cased."""
     return unicodedata.normalize("NFC", text)[-1].lower()[-1].isalpha()
 
 
+class Ranks:
+    """Ids of words of lower-case letters, from the merges of the tokenizer as ranks of byte strings.
+
+    A word is its bytes and a zero that marks its end, so "</w>" is a byte too; a last byte and the zero
+    merge first. Of two neighbours the pair of least rank merges, as in the tokenizer, whose library is
+    several times slower on single words. `ids` are little-endian unsigned 32-bit integers.
+    """
+
+    def __init__(self, model: dict):
+        from tiktoken import Encoding
+
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in set(plain)]
+        self.byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+        merges = [self._bytes("".join(pair)) for pair in model["merges"]]
+        order = [bytes([b, 0]) for b in range(256)] + merges + [bytes([b]) for b in range(256)]
+        ranks = {token: i for i, token in enumerate(order)}
+        ids = {self._bytes(token): i for token, i in model["vocab"].items()}
+        self.ids = np.array([ids[token] for token in order], np.uint32)
+        self.closes = np.array([len(token) > 1 and token[-1] == 0 for token in order])
+        self.encoding = Encoding("by-rank", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def _bytes(self, token: str) -> bytes:
+        stem = token.removesuffix("</w>")
+        return bytes(map(self.byte.__getitem__, stem)) + b"\0" * (stem != token)
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        found = np.array(self.encoding.encode_ordinary("\0".join(words) + "\0"), np.int64)
+        cuts = (4 * np.flatnonzero(self.closes[found]) + 4).tolist()
+        data = self.ids[found].tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    @classmethod
+    def of(cls, spec: str) -> Ranks | None:
+        """Those of a tokenizer file; None where the file is not byte pairs with "</w>" at word ends."""
+        model = json.loads(spec)["model"]
+        known = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>"
+        known = known and len({"".join(pair) for pair in model["merges"]}) == len(model["merges"])  # one way to each token
+        if not known or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges")):
+            return None
+        try:
+            return cls(model)
+        except KeyError:  # not an alphabet of bytes
+            return None
+
+
 class WordTokens:
     """Ids of whole texts from ids of their words.
 
@@ -38,11 +89,11 @@ class WordTokens:
     words in turn. It also splits between a letter and punctuation and lower-cases, so a word that
     ends in punctuation has the ids of its stem and of its end, where the stem still ends in a letter
     when it is normalised: some letters become a letter and a mark, which goes with the punctuation.
-    New stems are encoded together.
+    New stems of Latin letters alone go through `Ranks`, all others through the tokenizer, together.
     """
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.known, self.old = tokenizer, {b"": b""}, {}
+    def __init__(self, tokenizer, ranks: Ranks | None = None):
+        self.tokenizer, self.ranks, self.known, self.old = tokenizer, ranks, {b"": b""}, {}
 
     def _encode(self, words: list[bytes]) -> None:
         texts = [w.decode() for w in words]
@@ -54,13 +105,35 @@ class WordTokens:
         data = ids.tobytes()
         self.known.update(zip(words, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
 
+    def _by_rank(self, words: list[bytes]) -> list[bytes]:
+        """Learns the words of Latin letters and returns the others."""
+        ranked, letters, others = [], [], []
+        for w in words:
+            if not w.isascii():
+                text = unicodedata.normalize("NFC", w.decode()).lower()
+                latin = text.isalpha() and max(text) < RANKED_BELOW
+            elif latin := w.isalpha():
+                text = w.decode().lower()
+            if latin:
+                ranked.append(w)
+                letters.append(text)
+            else:
+                others.append(w)
+        if ranked:
+            self.known.update(zip(ranked, self.ranks(letters)))
+        return others
+
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
         """Stem and punctuation at the end; the stem ends in a letter, or is the whole word."""
+        if word.isalpha():  # of ASCII letters
+            return word.lower(), b""
         if b"<|" in word:
             return word, b""
         stem = word.rstrip(ENDS)
-        if not stem or not (stem[-1:].isalpha() or stem[-1] > 127 and _ends_in_letter(stem.decode())):
+        if not stem or len(stem) < len(word) and not (
+            stem[-1:].isalpha() or stem[-1] > 127 and _ends_in_letter(stem.decode())
+        ):
             stem = word
         return (stem.lower() if stem.isascii() else stem), word[len(stem):]
 
@@ -79,7 +152,7 @@ class WordTokens:
             met = stems & self.old.keys()
             known.update((w, self.old[w]) for w in met)
             stems -= met
-        stems = list(stems)
+        stems = self._by_rank(list(stems)) if self.ranks else list(stems)
         for at in range(0, len(stems), TOGETHER):
             self._encode(stems[at:at + TOGETHER])
         for w, (stem, end) in parts.items():
@@ -99,7 +172,7 @@ def _pieces(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        encode = WordTokens(Tokenizer.from_str(tokenizer))
+        encode = WordTokens(Tokenizer.from_str(tokenizer), Ranks.of(tokenizer))
         end = np.array([END], np.uint32).tobytes()
         for batch in batches:
             data, rows = flat(batch.column(1))

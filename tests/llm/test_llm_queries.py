@@ -1,5 +1,7 @@
 """The registered queries on small tables: their columns, the rule of held-out rows, ids of packed pieces."""
 
+import json
+import random
 import zlib
 
 import numpy as np
@@ -10,7 +12,9 @@ from tokenizers import Tokenizer
 from panelmill.llm import catalog, packing
 
 WORDS = {"en": "the house and this with that from have been were", "es": "la casa y esto con que desde han sido eran"}
-TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+    SPEC = file.read()
+TOKENIZER = Tokenizer.from_str(SPEC)
 
 
 def _rows():
@@ -69,9 +73,27 @@ def test_packing(spark, folder):
             assert r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes())
 
 
-def test_every_letter_before_punctuation():
+@pytest.mark.parametrize("ranks", [None, packing.Ranks.of(SPEC)])
+def test_every_letter_before_punctuation(ranks):
     letters = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
-    words = [f"a{c}{end}" for c in letters for end in (".", "')")]
-    found = packing.WordTokens(TOKENIZER)([w.encode() for w in words])
+    words = [f"a{c}{end}" for c in letters for end in ("", ".", "')")]
+    found = packing.WordTokens(TOKENIZER, ranks)([w.encode() for w in words])
     want = TOKENIZER.encode_batch(words, add_special_tokens=False)
     assert all(np.frombuffer(f, np.uint32).tolist() == w.ids for f, w in zip(found, want))
+
+
+def test_words_by_rank():
+    """Every word of the vocabulary, words joined of its entries, and words of any Latin letters."""
+    draw = random.Random(4)
+    entries = [t.removesuffix("</w>") for t in json.loads(SPEC)["model"]["vocab"]]
+    entries = [t for t in entries if t.isascii() and t.isalpha()]
+    latin = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    words = entries + ["".join(draw.choices(entries, k=draw.randint(2, 5))) for _ in range(20_000)]
+    words += ["".join(draw.choices(latin, k=draw.randint(1, 40))) for _ in range(20_000)] + ["ab" * 5000, "ÅNGSTRÖM" * 300]
+    found = packing.WordTokens(TOKENIZER, packing.Ranks.of(SPEC))([w.encode() for w in words])
+    want = TOKENIZER.encode_batch(words, add_special_tokens=False)
+    assert all(np.frombuffer(f, np.uint32).tolist() == w.ids for f, w in zip(found, want))
+
+
+def test_ranks_of_other_files():
+    assert packing.Ranks.of(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()) is None
