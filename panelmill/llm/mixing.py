@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.llm.ranks import ranked, running
@@ -14,11 +14,13 @@ LIMIT = 2
 #: Words of a block, and output shards; shards are halved again and again, so a power of two.
 BLOCK_WORDS = 4096
 SHARDS = 8
+#: Sources whose counts one row of a node holds while it is split.
+TOGETHER = 256
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """`sizes` (source, source_size) with the weight and target of each source.
+    """`sizes` (source, source_size) with the place, weight and target of each source.
 
     Sources by code point, null last, weigh WEIGHTS in turn and share SHARE times all words; a target
     stops at LIMIT times its source's size, and the rest is shared by weight again. That is the least
@@ -41,17 +43,17 @@ def targets(sizes: DataFrame) -> DataFrame:
     first = F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.struct(F.col("limit") / F.col("weight"), "place", "level"))
     level = F.min(first).over(everything)["level"]
     return rows.withColumn("target", F.least(F.col("limit").cast("double"), level * F.col("weight"))).select(
-        "source", "source_size", "weight", "target"
+        "source", "source_size", "place", "weight", "target"
     )
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _units(docs: DataFrame, id_col: str, text_col: str, source_col: str, block_words: int) -> DataFrame:
     """One row per id and source, with its words; their running sum in the source's permutation."""
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     units = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"))
     units = materialise(units.groupBy("id", "source").agg(F.sum("size").alias("size")), "units")
     units = running(units, ["source"], ["id"], F.col("size"), "start", "mix")
-    return units.withColumn("block", F.floor(F.col("start") / BLOCK_WORDS))
+    return units.withColumn("block", F.floor(F.col("start") / block_words))
 
 
 def _shared(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,23 +65,81 @@ def _shared(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(other, same).drop(*[f"_{k}" for k in keys])
 
 
-def _dealt(blocks: DataFrame) -> DataFrame:
-    """`blocks` (source, block, draws) to (source, block, shards), a shard for each time a block is drawn.
+def _hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
+    """How many of `drawn` out of `total` items are among the `marked` ones: the quantile `u` of that law.
 
-    Every level of the tree splits a node's draws in two halves. Which draws go left is a random
-    subset of exact size, so the quotas of the sources on either side follow the multivariate
-    hypergeometric law and add up to the node's. Leaves differ by one draw at most.
+    The weights of neighbouring counts differ by a simple factor, so the law is summed up from ten counts
+    and twelve deviations below the mean to as many above; what lies beyond is less than a double can tell.
     """
-    draws = blocks.where("draws > 0").select("source", "block", F.explode(F.expr("sequence(1, draws)")).alias("draw"))
-    draws = draws.withColumn("node", F.lit(0))
-    for level in range(SHARDS.bit_length() - 1):
-        draws = materialise(draws, "draws")
-        size = draws.groupBy("node").agg(F.count("*").alias("size"))
-        draws = ranked(draws, ["node"], ["source", "block", "draw"], "rank", f"level {level}").join(size, "node")
-        right = F.col("rank") >= F.floor((F.col("size") + F.col("node") % 2) / 2)
-        draws = draws.select("source", "block", "draw", (2 * F.col("node") + right.cast("int")).alias("node"))
-    shards = F.sort_array(F.collect_list(F.struct("draw", "node")))["node"]
-    return draws.groupBy("source", "block").agg(shards.alias("shards"))
+    n, k, d = total.cast("double"), marked.cast("double"), drawn.cast("double")
+    some = F.greatest(n, F.lit(1.0))
+    mean = d * k / some
+    reach = 12 * F.sqrt(mean * (some - k) / some * (n - d) / F.greatest(n - 1, F.lit(1.0))) + 10
+    low, high = F.ceil(F.greatest(F.lit(0.0), d + k - n, mean - reach)), F.floor(F.least(k, d, mean + reach))
+    counts = F.sequence(low, high)
+
+    def after(w: Column, x: Column) -> Column:
+        return w * (k - x) * (d - x) / ((x + 1) * (n - k - d + x + 1))
+
+    whole = F.aggregate(
+        counts, F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum")),
+        lambda s, x: F.struct(after(s["w"], x).alias("w"), (s["sum"] + s["w"]).alias("sum")),
+    )["sum"]
+    return F.aggregate(
+        counts, F.struct(F.lit(1.0).alias("w"), (u * whole).alias("rest"), F.lit(None).cast("long").alias("at")),
+        lambda s, x: F.struct(
+            after(s["w"], x).alias("w"), (s["rest"] - s["w"]).alias("rest"),
+            F.coalesce(s["at"], F.when((s["rest"] < s["w"]) | (x == high), x)).alias("at"),
+        ),
+    )["at"]
+
+
+def _split(rows: DataFrame, group: list[str], item: str, salt: str) -> DataFrame:
+    """`rows` (group, item, count, half) with `left`: of `half` draws from all of a group, those of each item.
+
+    Item after item draws its part of what is left, so the parts of a group add up to `half` and follow the
+    multivariate hypergeometric law.
+    """
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(salt), *group, item), 11) / F.lit(2.0**53)
+    entries = F.array_sort(F.collect_list(F.struct(item, "count", u.alias("u"))))
+    groups = rows.groupBy(*group).agg(F.first("half").alias("half"), F.sum("count").alias("total"), entries.alias("entries"))
+
+    def take(s: Column, e: Column) -> Column:
+        found = _hypergeometric(s["total"], e["count"], s["half"], e["u"])
+        return F.transform(F.array(found), lambda x: F.struct(
+            (s["total"] - e["count"]).alias("total"), (s["half"] - x).alias("half"), F.concat(s["left"], F.array(x)).alias("left"),
+        ))[0]
+
+    start = F.struct("total", "half", F.array().cast("array<bigint>").alias("left"))
+    groups = groups.withColumn("left", F.aggregate("entries", start, take)["left"])
+    both = groups.select(*group, F.explode(F.arrays_zip("entries", "left")).alias("e"))
+    return both.select(*group, f"e.entries.{item}", "e.entries.count", "e.left")
+
+
+def _dealt(quotas: DataFrame, shards: int, seed: str = "mix") -> DataFrame:
+    """`quotas` (place, draws) of the sources, split among the shards: place and `ends`, one per shard.
+
+    Shard i gets a source's draws from ends[i - 1] to ends[i]. A node of the tree holds how many draws of
+    each source lie below it, and half of all its draws go left. How many of those are of which source
+    is drawn for TOGETHER sources at once first, then for each of them. Leaves differ by one draw at
+    most. The table has a row per node and source, whatever the quotas.
+    """
+    rows = quotas.select(F.floor(F.col("place") / TOGETHER).alias("part"), "place", F.lit(0).alias("node"), F.col("draws").alias("count"))
+    for level in range(shards.bit_length() - 1):
+        node = Window.partitionBy("node")
+        parts = rows.groupBy("node", "part").agg(F.sum("count").alias("count"))
+        parts = parts.withColumn("half", F.floor((F.sum("count").over(node) + F.col("node") % 2) / 2))
+        parts = _split(parts, ["node"], "part", f"{seed} parts {level}")
+        rows = rows.join(parts.select("node", "part", F.col("left").alias("half")), ["node", "part"])
+        rows = _split(rows, ["node", "part"], "place", f"{seed} sources {level}")
+        sides = F.array(
+            F.struct((2 * F.col("node")).alias("node"), F.col("left").alias("count")),
+            F.struct((2 * F.col("node") + 1).alias("node"), (F.col("count") - F.col("left")).alias("count")),
+        )
+        rows = materialise(rows.select("part", "place", F.explode(sides).alias("side")).select("part", "place", "side.*"), "nodes")
+    end = F.sum("count").over(Window.partitionBy("place").orderBy("node"))
+    ends = F.array_sort(F.collect_list(F.struct("node", "end")))["end"]
+    return rows.withColumn("end", end).groupBy("place").agg(ends.alias("ends"))
 
 
 def _fill(units: DataFrame) -> DataFrame:
@@ -116,19 +176,24 @@ def _fill(units: DataFrame) -> DataFrame:
     return ranked(chosen, ["source", "size"], ["id"], "rank", "mix").where("rank < take").select("id", "source")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    shards: int = SHARDS, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
     """How often each document is taken so that sources come near their targets, and by which shards.
 
     Returns a row per id and source: the id, source, size (words; null texts have none), source_size,
     target, copies, taken (copies times size) and shards (one per copy). Rows that repeat an id within
-    a source are one document. Documents without words stay once, in no shard.
-
-    A source's documents are permuted by a hash of their id and cut into blocks of BLOCK_WORDS words.
-    Its quota is every block as often as the target holds the source, then the documents of the
-    permutation that end within what is left, and `_fill` for the room between the last of them and
-    the target. `_dealt` splits the quotas among shards. Hashes decide, so reruns agree.
+    a source are one document. Documents without words stay once, in no shard. `shards` is a power of two.
+
+    A source's documents are permuted by a hash of their id and cut into blocks of `block_words` words.
+    Its quota is a number of blocks: the permutation as often as the target holds the source, then the
+    blocks that end within what is left, and one draw for the rest below a block: the documents after
+    them that end within the target, and `_fill` for the room behind those. `_dealt` splits the quotas
+    among the shards, and each shard draws that many blocks of the permutation, one shard after the
+    other, so no draw is in two. Hashes decide, so reruns agree.
     """
-    units = _units(docs, id_col, text_col, source_col)
+    units = _units(docs, id_col, text_col, source_col, block_words)
     sources = targets(units.groupBy("source").agg(F.sum("size").alias("source_size")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = sources.withColumn("epochs", epochs).withColumn("over", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -137,17 +202,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     fill = materialise(_fill(units), "fill").select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.lit(True).alias("filled"))
     rows = units.join(fill, F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_i", "_s")
-    extra = (F.col("within") | F.coalesce("filled", F.lit(False))).cast("int")
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + extra).cast("int")
-    rows = materialise(rows.withColumn("copies", copies), "copies")
-    blocks = rows.where("size > 0").groupBy("source", "block").agg(F.max("copies").alias("draws"))
-    shards = _dealt(blocks)
-    rows = rows.join(shards.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "shards"),
-                     F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
-    own = F.when((F.col("size") > 0) & (F.col("copies") > 0), F.slice("shards", 1, F.greatest("copies", F.lit(1))))
+    blocks = F.max("block") + 1
+    quotas = units.where("size > 0").groupBy("place").agg(
+        blocks.alias("blocks"), F.coalesce(F.min(F.when(~F.col("within"), F.col("block"))), blocks).alias("part"), F.first("epochs").alias("times"),
+    )
+    quotas = quotas.withColumn("rest", F.col("times") * F.col("blocks") + F.col("part"))
+    quotas = materialise(quotas.withColumn("draws", F.col("rest") + 1), "quotas")
+    quotas = quotas.join(_dealt(quotas, shards), "place").select("place", "blocks", "part", "rest", "ends")
+    rows = rows.join(quotas, "place", "left")
+
+    below = (F.col("within") & (F.col("block") >= F.col("part"))) | F.coalesce("filled", F.lit(False))
+    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("epochs")), lambda e: F.col("block") + e * F.col("blocks"))
+    draws = F.concat(F.filter(draws, lambda d: d < F.col("rest")), F.when(below, F.array("rest")).otherwise(F.array().cast("array<bigint>")))
+    taken = F.transform(draws, lambda d: F.size(F.filter("ends", lambda end: end <= d)))
+    rows = rows.withColumn("shards", F.when(F.col("size") > 0, taken).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.size("shards")))
     return rows.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"), F.coalesce(own, F.array().cast("array<int>")).alias("shards"),
+        (F.col("copies") * F.col("size")).alias("taken"), "shards",
     )
 
 

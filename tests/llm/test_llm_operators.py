@@ -1,6 +1,7 @@
 """Every operator on a small table with odd rows, against a brute-force version."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -210,11 +211,61 @@ def test_mixing_comes_near_the_targets(spark, sizes):
             assert abs(taken - target) <= abs(taken + more - target), (source, taken, target, more)
 
 
+def _shares(ends):
+    return np.diff([0, *ends])
+
+
 def test_shards_of_the_tree_are_even(spark):
-    blocks = spark.range(300).selectExpr("concat('s', id % 3) source", "id block", "cast(id % 2 + 1 as int) draws")
-    counts = Counter(s for r in mixing._dealt(blocks).collect() for s in r["shards"])
-    assert len(counts) == mixing.SHARDS and sum(counts.values()) == 450
-    assert max(counts.values()) - min(counts.values()) <= 1
+    draws = {i: d for i, d in enumerate([100, 0, 1, 349, 7, 5_000_000_000] + [3] * 600, 1)}
+    quotas = spark.createDataFrame(list(draws.items()), "place long, draws long")
+    got = {r["place"]: _shares(r["ends"]) for r in mixing._dealt(quotas, 8).collect()}
+    assert {p: s.sum() for p, s in got.items()} == draws and min(s.min() for s in got.values()) >= 0
+    leaves = sum(got.values())
+    assert len(leaves) == 8 and leaves.max() - leaves.min() <= 1
+
+
+def test_shares_follow_the_hypergeometric_law(spark):
+    """Each share's mean, variance and cases against the exact law, over 4000 draws."""
+    draws = [(40, 13, 20), (9, 4, 4), (1000, 30, 500), (7, 7, 3), (6, 0, 3), (60, 59, 30)]
+    cases = spark.range(4000).crossJoin(spark.createDataFrame(draws, "n long, k long, d long"))
+    u = F.shiftrightunsigned(F.xxhash64("id", "n", "k"), 11) / F.lit(2.0**53)
+    found = mixing._hypergeometric(F.col("n"), F.col("k"), F.col("d"), u).alias("x")
+    counts = Counter((r["n"], r["k"], r["d"], r["x"]) for r in cases.select("n", "k", "d", found).collect())
+    for n, k, d in draws:
+        for x in range(k + 1):
+            p = math.comb(k, x) * math.comb(n - k, d - x) / math.comb(n, d) if x <= d else 0
+            got = counts[n, k, d, x] / 4000
+            assert abs(got - p) <= 5 * math.sqrt(p * (1 - p) / 4000), (n, k, d, x, got, p)
+
+
+def test_split_of_a_node_follows_the_multivariate_law(spark):
+    """Joint shares of three sources, over 3000 nodes, against exact probabilities."""
+    counts = {1: 3, 2: 4, 3: 2}
+    rows = spark.range(3000).crossJoin(spark.createDataFrame(list(counts.items()), "place long, count long"))
+    rows = rows.select(F.col("id").alias("node"), "place", "count", F.lit(4).cast("long").alias("half"))
+    nodes = {}
+    for r in mixing._split(rows, ["node"], "place", "law").collect():
+        nodes.setdefault(r["node"], {})[r["place"]] = r["left"]
+    got = Counter((s[1], s[2], s[3]) for s in nodes.values())
+    for a in range(4):
+        for b in range(5):
+            c = 4 - a - b
+            p = math.comb(3, a) * math.comb(4, b) * math.comb(2, c) / math.comb(9, 4) if 0 <= c <= 2 else 0
+            assert abs(got[a, b, c] / 3000 - p) <= 5 * math.sqrt(p * (1 - p) / 3000), (a, b, c)
+    assert sum(got.values()) == 3000
+
+
+def test_mixing_in_small_blocks(spark):
+    """Blocks of few words and more shards take the same documents, and every copy is in one shard."""
+    rows = [(i, "w " * (1 + i * 7 % 23), "ab"[i % 5 == 0]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = mixing.mix(docs, shards=1).collect(), mixing.mix(docs, shards=16, block_words=32).collect()
+    assert {r["doc_id"]: r["copies"] for r in one} == {r["doc_id"]: r["copies"] for r in two}
+    words = Counter()
+    for r in two:
+        assert len(r["shards"]) == r["copies"] and all(0 <= s < 16 for s in r["shards"])
+        words.update({s: r["size"] for s in r["shards"]})
+    assert len(words) == 16
 
 
 def test_fingerprints(docs, odd, empty, rows):
