@@ -6,8 +6,6 @@ number of distinct values and not by the number of rows, and no group is gathere
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,11 +90,14 @@ def with_bucket(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
     """
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = df.agg(F.percentile_approx(order, shares, F.lit(1000)).alias("edges")).scalar()
-    # No lambda over the ordering column: where the frame is joined with its own totals, the optimiser copies
-    # such a lambda to the side that lacks the column.
-    passed = [F.coalesce(F.try_element_at("edges__", F.lit(i)) < F.col(order), F.lit(False)).cast("int") for i in range(1, buckets)]
-    place = reduce(lambda a, b: a + b, passed)
-    return df.withColumn("edges__", edges).withColumn("bucket__", place).drop("edges__")
+    # A binary search, one small projection per step: a single expression over all edges is more code than the JVM
+    # compiles, and a lambda over the ordering column fails where the frame is joined with its own totals, since the
+    # optimiser copies it to the side that lacks the column.
+    placed = df.withColumns({"edges__": edges, "bucket__": F.lit(0)})
+    for bit in reversed(range((buckets - 1).bit_length())):
+        above = F.try_element_at("edges__", F.col("bucket__") + F.lit(1 << bit)) < F.col(order)
+        placed = placed.withColumn("bucket__", F.col("bucket__") + F.when(above, F.lit(1 << bit)).otherwise(F.lit(0)))
+    return placed.drop("edges__")
 
 
 def bucket_totals(bucketed: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:

@@ -20,6 +20,21 @@ def skewed(spark):
     return spark.createDataFrame(hot + rest + [("one", 4.0), ("none", None)], "k string, v double").repartition(6)
 
 
+def test_with_bucket_is_a_short_search(spark):
+    """The bucket is the number of edges below the value, and no step refers to more than one edge."""
+    values = [None, float("nan"), -1e9, 1e9, *[float(i * i) for i in range(500)]]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    for buckets in (2, 10, 64):
+        got = grouping.with_bucket(frame, "v", buckets)
+        shares = [i / buckets for i in range(1, buckets)]
+        edges = frame.agg(F.percentile_approx("v", F.array(*map(F.lit, shares)), F.lit(1000))).first()[0]
+        for r in got.collect():
+            passed = 0 if r.v is None else len(edges) if r.v != r.v else sum(e < r.v for e in edges)
+            assert r["bucket__"] == passed
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert max(line.count("try_element_at") + line.count("element_at(") + line.count("edges__") for line in plan.splitlines()) < 10
+
+
 def test_exact_quantiles(skewed):
     got = {r.k: r for r in grouping.exact_quantiles(skewed, ["k"], "v", {"a": 0.1, "m": 0.5, "z": 0.99}).collect()}
     for k, part in skewed.toPandas().dropna().groupby("k"):
