@@ -23,6 +23,8 @@ K, SHARED = 64, 36
 WHOLE = 192
 #: Members of an inverted list with which all others are compared.
 CENTRES = 5
+#: Lists in which a pair with a centre has to meet before its sketches are compared.
+MET = 2
 #: Common values of two sketches from which on they are taken as linked until confirmed.
 LIKELY = 52
 #: Retained values in which a pair has to agree before its sketches are compared.
@@ -100,16 +102,22 @@ def _reached(room: str, a: str, b: str) -> Column:
 
 
 def _stars(index: DataFrame) -> DataFrame:
-    """Each list's members with CENTRES of them, those of smallest hashes.
+    """Each list's members with CENTRES of them, those of smallest hashes, where the pair meets in MET lists.
 
     The hashes are of the members alone, so the lists of one family have most of their centres in common.
+    These pairs only say which components to expect: one that is left out comes from `_across`, if it has a link.
     """
     def centre(salt: int) -> Column:
         return F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "n"))
 
-    centres = index.groupBy("value").agg(F.array(*[centre(i) for i in range(CENTRES)]).alias("c"))
-    pairs = index.join(centres, "value").select("node", "n", F.explode(F.array_distinct("c.node")).alias("other"))
-    return pairs.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    each = [centre(i) for i in range(CENTRES)]
+    of = F.array_distinct(F.array(*[F.struct(c["node"].alias("other"), c["n"].alias("m")) for c in each]))
+    pairs = index.join(index.groupBy("value").agg(of.alias("c")), "value").select("node", "n", F.inline("c"))
+    pairs = pairs.where((F.col("node") != F.col("other")) & _sized("n", "m"))
+    # A pair of centres meets twice in one list, once from each side.
+    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), (F.col("node") < F.col("other")).alias("up"))
+    met = pairs.groupBy("a", "b").agg(F.count_if("up").alias("up"), F.count_if(~F.col("up")).alias("down"))
+    return met.where(F.greatest("up", "down") >= MET).select("a", "b")
 
 
 def _across(index: DataFrame, label: DataFrame, within: list[str]) -> DataFrame:
@@ -138,10 +146,14 @@ def _across(index: DataFrame, label: DataFrame, within: list[str]) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose sketches leave a similarity of 0.8 possible, and whether they make it likely."""
-    side = classes.select("node", "n", "sketch")
+    """Pairs whose sketches leave a similarity of 0.8 possible, and whether they make it likely.
+
+    Pairs carry the high halves of the values, in the same order. Two values of a set may have one half, so a
+    pair of whole sets may lack one common value here; full sets confirm all that is kept.
+    """
+    side = classes.select("node", "n", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch"))
     both = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
-    exact = F.size(F.array_intersect("sa", "sb"))
+    exact = F.size(F.array_intersect("sa", "sb")) + 1
     ka, kb = F.slice("sa", 1, K), F.slice("sb", 1, K)
     union = F.slice(F.array_sort(F.array_union(ka, kb)), 1, K)
     common = F.size(F.array_intersect(F.array_intersect(ka, kb), union))
