@@ -5,7 +5,8 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,10 +63,23 @@ def title_case(col: Column) -> Column:
     return F.array_join(F.transform(F.split(col, f"(?<=[^{CASED[1:-1]}])"), word), "")
 
 
-@F.pandas_udf(T.StringType())
-def _fold_wide(values: pd.Series) -> pd.Series:
-    folded = values.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
-    return folded.where(values.notna(), None)
+#: Bytes of text that are decomposed at once.
+SLICE = 1 << 20
+
+
+@F.arrow_udf(T.StringType())
+def _fold_wide(values: pa.Array) -> pa.Array:
+    """Batches come by rows, whatever their length, so only a slice of one is held as Python strings."""
+    done, start, size = [], 0, 0
+    lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    for end, length in enumerate(lengths, 1):
+        size += int(length)
+        if size >= SLICE or end == len(values):
+            texts = values.slice(start, end - start).to_pylist()
+            folded = [t if t is None or t.isascii() else _ascii(t) for t in texts]
+            done.append(pa.array(folded, pa.string()))
+            start, size = end, 0
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
 def fold_ascii(col: Column, wide: bool = False) -> Column:

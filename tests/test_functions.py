@@ -117,3 +117,18 @@ def test_headers(spark):
     with pytest.raises(ValueError, match="producto"):
         headers.require_columns(df, ["producto"])
     assert not headers.has_table_shape(df.select("Año Base")) and headers.has_table_shape(df)
+
+
+def test_wide_folding_holds_a_slice(spark, monkeypatch):
+    """Values of a batch are decomposed in slices, and only those beyond ascii."""
+    import pyarrow as pa
+
+    sizes = []
+    monkeypatch.setattr(text, "SLICE", 100)
+    monkeypatch.setattr(text, "_ascii", lambda t, fold=text._ascii: sizes.append(len(t)) or fold(t))
+    values = ["plain", None, "", "Ñandú " * 30, "ﬁn ½", "x" * 500, "日本"]
+    got = text._fold_wide.func(pa.array(values)).to_pylist()
+    assert got == ["plain", None, "", "Nandu " * 30, "fin 12", "x" * 500, ""] and len(sizes) == 3
+    assert text._fold_wide.func(pa.array([], pa.string())).to_pylist() == []
+    frame = spark.createDataFrame([(v,) for v in values], "v string").select(text.fold_ascii(F.col("v"), wide=True).alias("w"))
+    assert [r.w for r in frame.collect()] == got
