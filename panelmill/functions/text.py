@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
+from string import ascii_lowercase, digits
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +18,9 @@ BLANKS = (
     r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 )
+# The same runs without single spaces, which stay as they are and are most of them. Visible ascii characters,
+# most of a text, are told by one range: a class asks each of its ranges in turn.
+RUNS = f"(?![!-~])(?:(?! ){BLANKS[:-1]}| (?={BLANKS[:-1]})){BLANKS[:-1]}*"
 CASED = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]"
 
 
@@ -37,20 +42,34 @@ def _folding() -> tuple[str, str]:
     return "".join(a for a, _ in single), "".join(b for _, b in single)
 
 
+#: Ranges of characters in a block of `_expanding`.
+BLOCK = 9
+
+
 @lru_cache(maxsize=1)
 def _expanding() -> tuple[str, str]:
-    """The characters that fold to several: as a regular-expression class, and as text of a map."""
+    """The characters that fold to several: as a regular expression, and as text of a map.
+
+    The ranges of characters come in blocks, so a character is held against the blocks and the ranges of one.
+    """
     several = [(a, b) for a, b in _folded() if len(b) > 1]
     codes = [ord(a) for a, _ in several]
     starts = [c for c in codes if c - 1 not in codes]
     ends = [c for c in codes if c + 1 not in codes]
-    listed = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
-    return f"(?![\\x00-\\x7F])[{listed}]", "\x01".join(f"{a}\x02{b}" for a, b in several)
+    ranges = [(f"\\x{{{a:x}}}", f"\\x{{{b:x}}}") for a, b in zip(starts, ends, strict=True)]
+    blocks = [ranges[i:i + BLOCK] for i in range(0, len(ranges), BLOCK)]
+    listed = "|".join(f"(?=[{b[0][0]}-{b[-1][1]}])[{''.join(f'{x}-{y}' for x, y in b)}]" for b in blocks)
+    return f"(?![\\x00-\\x7F])(?:{listed})", "\x01".join(f"{a}\x02{b}" for a, b in several)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often `use` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def clean_text(col: Column, title: bool = False) -> Column:
     """Null to blank, runs of blanks to one space, trimmed; optionally in title case."""
-    cleaned = F.trim(F.regexp_replace(F.coalesce(col.cast("string"), F.lit("")), BLANKS, " "))
+    cleaned = F.trim(F.regexp_replace(F.coalesce(col.cast("string"), F.lit("")), RUNS, " "))
     return title_case(cleaned) if title else cleaned
 
 
@@ -88,8 +107,10 @@ def fold_ascii(col: Column, wide: bool = False) -> Column:
     The default stays in the JVM; `wide` works in Arrow batches. Characters fold one by one, so both
     agree. Those that expand are looked up only in values that hold one.
     """
-    if wide:
-        return _fold_wide(col)
+    return _fold_wide(col) if wide else once(col, _fold)
+
+
+def _fold(col: Column) -> Column:
     source, target = _folding()
     several, table = _expanding()
     letters = F.str_to_map(F.lit(table), F.lit("\x01"), F.lit("\x02"))
@@ -102,7 +123,7 @@ def fold_ascii(col: Column, wide: bool = False) -> Column:
 def match_key(col: Column, wide: bool = False) -> Column:
     """Join key: trimmed, lower case, accents folded, blanks collapsed."""
     lowered = F.lower(clean_text(col))
-    return F.trim(F.regexp_replace(fold_ascii(lowered, wide), BLANKS, " "))
+    return F.trim(F.regexp_replace(fold_ascii(lowered, wide), RUNS, " "))
 
 
 def slug(col: Column, wide: bool = False) -> Column:
@@ -110,7 +131,7 @@ def slug(col: Column, wide: bool = False) -> Column:
 
 
 def key_slug(key: Column) -> Column:
-    return F.trim(F.regexp_replace(key, r"[^a-z0-9]+", "_"), F.lit("_"))
+    return F.trim(F.regexp_replace(key, f"[^{digits}{ascii_lowercase}]+", "_"), F.lit("_"))
 
 
 def non_blank(col: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelmill.constants import BLEND_WEIGHTS, FEATURES_BY_SET, TARGET
 from panelmill.functions.numbers import blend
+from panelmill.functions.text import once
 from panelmill.operators import forest
 from panelmill.operators.forest import TreeParams, forest_prediction, on_grid
 from panelmill.operators.horizons import Predictor, operational_forecasts, rolling_origin_forecasts
@@ -33,11 +34,6 @@ def all_known(x: Column) -> Column:
     return F.forall(x, lambda v: v.isNotNull())
 
 
-def once(value: Column, use) -> Column:
-    """`use(value)` with the value computed once, however often a lambda refers to it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def by_set(rows: DataFrame, keep: list[str]) -> DataFrame:
     """`keep` and (feature_set, x) for each feature set, of rows whose features are all known."""
     sets = F.array(*[F.struct(F.lit(s).alias("feature_set"), feature_array(c).alias("x")) for s, c in FEATURES_BY_SET.items()])

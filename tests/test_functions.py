@@ -40,6 +40,22 @@ def test_match_key(spark, wide):
     assert [r.k for r in rows] == [py_key(x) for x in known]
 
 
+def test_expanding_characters_in_small_classes():
+    pattern, table = text._expanding()
+    assert max(c.count("-") for c in re.findall(r"\[(.*?)\]", pattern)) <= 16
+    python = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", pattern))
+    found = {chr(c) for c in range(0x110000) if python.fullmatch(chr(c))}
+    assert found == {pair.split("\x02")[0] for pair in table.split("\x01")}
+
+
+def test_runs_of_blanks(spark):
+    blanks = [" ", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u3000"]
+    known = [f"a{x}{y}{z}b c{x}" for x in blanks for y in blanks for z in ["", *blanks]] + [f"{x}é" for x in blanks]
+    rows = one(spark, known, text.clean_text(F.col("x")).alias("c"), text.match_key(F.col("x")).alias("k"))
+    assert [r.c for r in rows] == [py_clean(x) for x in known]
+    assert [r.k for r in rows] == [py_key(x) for x in known]
+
+
 def test_slug_and_names(spark):
     rows = one(spark, [" Tomate Riñón (kg) ", "--"], text.slug(F.col("x")).alias("s"))
     assert [r.s for r in rows] == ["tomate_rinon_kg", ""]
