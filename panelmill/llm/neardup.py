@@ -72,20 +72,26 @@ def _index(classes: DataFrame) -> DataFrame:
     number of common values with which this one can still be among the first AGREE of them.
     `before` has the high 32 bits of the node's values that come before this one.
     """
-    n, least = F.col("n"), F.ceil(F.col("n") * 4 / 5)
-    whole = F.struct(F.lit(0).alias("kind"), F.col("sketch").alias("values"), least.cast("int").alias("shared"))
-    small = F.struct(F.lit(1).alias("kind"), F.slice("sketch", 1, K).alias("values"), F.lit(SHARED).alias("shared"))
+    n = F.col("n")
+    whole = F.struct(F.lit(0).alias("kind"), F.col("sketch").alias("values"))
+    small = F.struct(F.lit(1).alias("kind"), F.slice("sketch", 1, K).alias("values"))
     kinds = F.when(n <= int(0.8 * WHOLE), F.array(whole)).when(n <= WHOLE, F.array(whole, small)).otherwise(F.array(small))
-    entries = classes.select("node", "n", F.explode(kinds).alias("k"))
-    entries = entries.select("node", "n", "k.kind", "k.shared", F.size("k.values").alias("size"), F.explode("k.values").alias("value"))
-    entries = entries.withColumn("value", F.xxhash64("kind", "value"))
+    # A shuffled row has the size and the kind in one number; the rest follows from them.
+    entries = classes.select("node", "n", F.explode(kinds).alias("k")).select(
+        "node", (2 * F.col("n") + F.col("k.kind")).alias("form"), "k.kind", F.explode("k.values").alias("value")
+    )
+    entries = entries.select("node", "form", F.xxhash64("kind", "value").alias("value"))
     counts = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     entries = entries.join(counts, "value")
-    mine = Window.partitionBy("node", "kind")
-    place = F.row_number().over(mine.orderBy("df", "value")) + F.col("size") - F.count("*").over(mine)
-    entries = entries.withColumn("room", F.col("size") - place + AGREE).where("room >= shared")
-    room = F.when(F.col("kind") == 0, F.col("room")).otherwise(F.col("n")).alias("room")
-    listed = entries.groupBy("node", "kind", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value", room))).alias("list"))
+    mine = Window.partitionBy("node", "form")
+    is_whole, n = F.col("form") % 2 == 0, F.shiftright("form", 1)
+    size = F.when(is_whole, n).otherwise(F.least(n, F.lit(K)))
+    place = F.row_number().over(mine.orderBy("df", "value")) + size - F.count("*").over(mine)
+    entries = entries.withColumn("room", size - place + AGREE)
+    entries = entries.where(F.col("room") >= F.when(is_whole, F.ceil(n * 4 / 5)).otherwise(SHARED))
+    room = F.when(is_whole, F.col("room").cast("int")).otherwise(n).alias("room")
+    listed = entries.groupBy("node", "form").agg(F.array_sort(F.collect_list(F.struct("df", "value", room))).alias("list"))
+    listed = listed.withColumn("n", n)
     high = F.transform("list.value", lambda v: F.shiftright(v, 32).cast("int"))
     listed = listed.select("node", "n", high.alias("high"), F.posexplode("list").alias("at", "e"))
     return listed.select("e.value", "node", "n", "e.room", F.slice("high", F.lit(1), F.col("at")).alias("before"))
@@ -164,8 +170,24 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return kept.select("a", "b", (F.col("whole") | (F.col("inter") >= LIKELY)).alias("likely"))
 
 
+def _possible(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs whose full sets may have a similarity of 0.8, by the high 16 bits of their values alone.
+
+    Of the common values of two sets as many bits differ at least, less those that either set has twice, so
+    no link is left out; the bits are a quarter of what a pair would carry.
+    """
+    bits = F.array_distinct(F.transform("hashes", lambda v: F.shiftright(v, 48).cast("short")))
+    side = full.select("node", F.size("hashes").alias("n"), bits.alias("bits"))
+    both = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
+    twice = F.least(F.col("na") - F.size("sa"), F.col("nb") - F.size("sb"))
+    both = both.select("a", "b", (F.size(F.array_intersect("sa", "sb")) + twice).alias("most"), (F.col("na") + F.col("nb")).alias("sum"))
+    return both.where("100 * most >= 80 * (sum - most)").select("a", "b")
+
+
 def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """Pairs whose full sets have a similarity of 0.8 or more."""
+    pairs = materialise(_possible(pairs, full), "possible")
+    release(pairs.sparkSession)
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("hashes").alias("sa")), "a")
     both = both.join(full.select(F.col("node").alias("b"), F.col("hashes").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
