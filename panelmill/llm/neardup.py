@@ -61,28 +61,38 @@ def _schema(kind: T.DataType) -> T.StructType:
     ])
 
 
-def _index(classes: DataFrame) -> DataFrame:
-    """Inverted lists (value, node, n, room, before): of each sketch the rarest values, enough for AGREE common ones.
+def _entries(classes: DataFrame) -> DataFrame:
+    """(node, form, value): the values of each sketch, hashed with their kind; `form` is the set's size twice, plus the kind.
 
-    Sets up to WHOLE are listed whole; of n values they share 80 % at least with any linked set. Larger
-    ones, and those that may be linked with larger ones, are listed by their K smallest values, of which
-    linked sets share SHARED; the two kinds of lists are apart. In any common order of the values,
-    the first `size - shared + AGREE` of two linked sets then agree in AGREE at least. Rare values
-    come first, so lists of frequent values hold only sets that have little else. `room` is the largest
-    number of common values with which this one can still be among the first AGREE of them.
-    `before` has the high 32 bits of the node's values that come before this one.
+    A shuffled row has the size and the kind in one number; the rest follows from them.
     """
     n = F.col("n")
     whole = F.struct(F.lit(0).alias("kind"), F.col("sketch").alias("values"))
     small = F.struct(F.lit(1).alias("kind"), F.slice("sketch", 1, K).alias("values"))
     kinds = F.when(n <= int(0.8 * WHOLE), F.array(whole)).when(n <= WHOLE, F.array(whole, small)).otherwise(F.array(small))
-    # A shuffled row has the size and the kind in one number; the rest follows from them.
     entries = classes.select("node", "n", F.explode(kinds).alias("k")).select(
         "node", (2 * F.col("n") + F.col("k.kind")).alias("form"), "k.kind", F.explode("k.values").alias("value")
     )
-    entries = entries.select("node", "form", F.xxhash64("kind", "value").alias("value"))
-    counts = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    entries = entries.join(counts, "value")
+    return entries.select("node", "form", F.xxhash64("kind", "value").alias("value"))
+
+
+def _counts(classes: DataFrame) -> DataFrame:
+    """(value, df): values of several entries, and of how many."""
+    return _entries(classes).groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+
+
+def _index(classes: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Inverted lists (value, node, n, room, before): of each sketch the rarest values, enough for AGREE common ones.
+
+    Sets up to WHOLE are listed whole; of n values they share 80 % at least with any linked set. Larger
+    ones, and those that may be linked with larger ones, are listed by their K smallest values, of which
+    linked sets share SHARED; the two kinds of lists are apart. In any common order of the values,
+    the first `size - shared + AGREE` of two linked sets then agree in AGREE at least. Rare values
+    come first, so lists of frequent values hold only sets that have little else. `room` is the largest
+    number of common values with which this one can still be among the first AGREE of them.
+    `before` has the high 32 bits of the node's values that come before this one. `counts` is `_counts`, stored.
+    """
+    entries = _entries(classes).join(_counts(classes) if counts is None else counts, "value")
     mine = Window.partitionBy("node", "form")
     is_whole, n = F.col("form") % 2 == 0, F.shiftright("form", 1)
     size = F.when(is_whole, n).otherwise(F.least(n, F.lit(K)))
@@ -218,8 +228,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     rows = materialise(sets.select("id", "n", "set_id", "row"), "rows")
     release(docs.sparkSession, sets)
-    index = materialise(_index(classes), "index")
+    counts = materialise(_counts(classes), "counts")
     release(docs.sparkSession)
+    index = materialise(_index(classes, counts), "index")
+    release(docs.sparkSession, counts)
 
     stars = materialise(_estimated(_stars(index), classes), "pairs")
     guess = components(stars.where("likely").select("a", "b"))

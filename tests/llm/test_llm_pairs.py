@@ -68,3 +68,21 @@ def test_pairs_carry_halves_of_values(spark):
     found = neardup._estimated(spark.createDataFrame([(1, 2)], "a long, b long"), classes)
     assert [tuple(r) for r in found.collect()] == [(1, 2, True)]
     assert "array<int>" in found._jdf.queryExecution().analyzed().treeString() or "as int" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_short_values_leave_no_link_out(spark):
+    """Sets of which many values agree in their high 16 bits: what the short comparison keeps holds every link."""
+    draw = np.random.default_rng(4)
+    pool = (draw.integers(-3, 3, 60) << 48) + draw.integers(0, 1 << 40, 60)
+    sets = [sorted({int(v) for v in draw.choice(pool, draw.integers(1, 60))}) for _ in range(20)]
+    sets += [sorted({*s, 1 << 50}) for s in sets]
+    far = [sorted(int(v) for v in draw.integers(-(1 << 62), 1 << 62, 50)) for _ in range(4)]
+    full = spark.createDataFrame(list(enumerate(sets + far)), "node long, hashes array<long>")
+    pairs = [(a, b) for a in range(len(sets + far)) for b in range(a + 1, len(sets + far))]
+    listed = spark.createDataFrame(pairs, "a long, b long")
+    kept = {(r.a, r.b) for r in neardup._possible(listed, full).collect()}
+    both = [(set((sets + far)[a]), set((sets + far)[b])) for a, b in pairs]
+    linked = {p for p, (x, y) in zip(pairs, both, strict=True) if 100 * len(x & y) >= 80 * len(x | y)}
+    assert linked and linked <= kept
+    assert not {p for p in kept if p[1] >= len(sets)}
+    assert {(r.a, r.b) for r in neardup._verified(listed, full).collect()} == linked
