@@ -168,11 +168,20 @@ def sample(docs: DataFrame, label: str, seed: str, size: int, id_col: str = "doc
     return docs.where(chosen)
 
 
+def _views(found: pa.Table, order: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and shares of the rows in this order, as views of the Arrow buffers."""
+    out = []
+    for i in order:
+        used, shares = found["buckets"][i].as_buffer(), found["shares"][i].as_buffer()
+        out.append((np.frombuffer(used, np.uint16), np.frombuffer(shares, np.float32)) if used.size else (np.zeros(0, np.uint16), np.zeros(0, np.float32)))
+    return out
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the languages in `docs`, from about SAMPLE rows of each, three quarters to fit.
 
-    Rows without language are left out. Their bucket counts, not their texts, reach the driver. With
-    no rows at all, the model knows no language.
+    Rows without language are left out. Their bucket counts, not their texts, reach the driver, once, and
+    are given back after the fit. With no rows at all, the model knows no language.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("label"))
     rows = sample(rows.where("label is not null"), "label", "langid", 2 * SAMPLE, "id")
@@ -182,16 +191,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         T.StructField("fit", T.BooleanType()), T.StructField("buckets", T.BinaryType()), T.StructField("shares", T.BinaryType()),
     ])
     found = rows.select("id", "text", "label", part.alias("fit")).mapInArrow(_features, schema).toArrow()
-    found = found.sort_by([("label", "ascending"), ("id", "ascending")]).combine_chunks()
+    order = pa.compute.sort_indices(found.select(["label", "id"]), [("label", "ascending"), ("id", "ascending")]).to_pylist()
     names = found["label"].to_pylist()
     languages = sorted(set(names))
     number = {name: i for i, name in enumerate(languages)}
-    counts = [  # views of the Arrow buffers
-        (np.frombuffer(b.as_buffer(), np.uint16), np.frombuffer(s.as_buffer(), np.float32)) if len(b.as_buffer()) else (np.zeros(0, np.uint16), np.zeros(0, np.float32))
-        for b, s in zip(found["buckets"], found["shares"])
-    ]
-    labels = np.array([number[name] for name in names], np.int64)
-    return train(counts, labels, np.array(found["fit"].to_pylist(), bool), languages)
+    labels = np.array([number[names[i]] for i in order], np.int64)
+    chosen = np.array(found["fit"].to_pylist(), bool)[order]
+    model = train(_views(found, order), labels, chosen, languages)
+    del found
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _scored(model: Model):

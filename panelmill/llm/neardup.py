@@ -137,7 +137,7 @@ def _stars(index: DataFrame) -> DataFrame:
 
 
 def _across(index: DataFrame, label: DataFrame, within: list[str]) -> DataFrame:
-    """Pairs of one list with different labels that agree in AGREE values.
+    """Pairs of one list with different labels that agree in AGREE values, stored.
 
     Members of a list's most frequent label are paired with the others only, not with each other: a
     list whose members are all linked gives none. Each pair comes once, from the list of the AGREE-th
@@ -148,7 +148,9 @@ def _across(index: DataFrame, label: DataFrame, within: list[str]) -> DataFrame:
     keys = ["value", *within]
     counts = entries.groupBy(*keys, "label").agg(F.count("*").alias("size"))
     most = counts.groupBy(*keys).agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("labels"))
-    entries = entries.join(most.where("labels > 1"), keys)
+    # Stored, as are the pairs: the plans that read the lists twice would else hold all this twice.
+    most = materialise(most.where("labels > 1"), "most")
+    entries = entries.join(most, keys)
     others = entries.where("label <> most.label").select(
         *keys, F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("room").alias("rx"),
         F.col("before").alias("bx"),
@@ -158,7 +160,10 @@ def _across(index: DataFrame, label: DataFrame, within: list[str]) -> DataFrame:
     pairs = pairs.where(F.col("main") | (F.col("x") < F.col("node")))
     pairs = pairs.where(_reached("room", "n", "nx") & _reached("rx", "n", "nx"))
     pairs = pairs.where(F.size(F.array_intersect("bx", "before")) == AGREE - 1)
-    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    pairs = materialise(pairs, "across")
+    release(index.sparkSession, most)
+    return pairs
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -233,11 +238,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     index = materialise(_index(classes, counts), "index")
     release(docs.sparkSession, counts)
 
-    stars = materialise(_estimated(_stars(index), classes), "pairs")
+    met = materialise(_stars(index), "met")
+    stars = materialise(_estimated(met, classes), "pairs")
+    release(docs.sparkSession, met)
     guess = components(stars.where("likely").select("a", "b"))
-    others = materialise(_estimated(_across(index, guess, []), classes), "pairs")
+    across = _across(index, guess, [])
+    others = materialise(_estimated(across, classes), "pairs")
     pairs = stars.union(others).select("a", "b")
-    release(docs.sparkSession)
+    release(docs.sparkSession, across)
 
     used = materialise(
         pairs.select("a").union(pairs.select("b")).distinct().toDF("node").join(classes, "node").select("node", "set_id", "id"),
@@ -255,12 +263,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = guess.withColumnRenamed("component", "guess").join(found, "node", "left")
     split = split.withColumn("label", F.coalesce("component", "node"))
     parts = split.groupBy("guess").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-    rest = index.join(split.join(parts, "guess").select("node", "guess"), "node")
-    rest = materialise(_estimated(_across(rest, found, ["guess"]), classes), "pairs")
+    split = materialise(split.join(parts, "guess").select("node", "guess"), "split")
+    across = _across(index.join(split, "node"), found, ["guess"])
+    rest = materialise(_estimated(across, classes), "pairs")
+    release(docs.sparkSession, index, stars, others, guess, split, across)
     more = materialise(_verified(rest.select("a", "b"), full), "links")
     if not more.isEmpty():
-        found = components(links.union(more))
-    release(docs.sparkSession, index, stars, others, used, full, links, rest, more)
+        parted, found = found, components(found.toDF("a", "b").union(more))
+        release(docs.sparkSession, parted)
+    release(docs.sparkSession, used, full, links, rest, more)
 
     label = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     label = label.select("set_id", "component", "none", "id", F.col("node").alias("row"))

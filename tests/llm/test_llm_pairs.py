@@ -5,7 +5,8 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from panelmill.llm import neardup
+from panelmill.llm import components, neardup
+from panelmill.session import materialise
 
 
 def _shingles(text):
@@ -86,3 +87,38 @@ def test_short_values_leave_no_link_out(spark):
     assert linked and linked <= kept
     assert not {p for p in kept if p[1] >= len(sets)}
     assert {(r.a, r.b) for r in neardup._verified(listed, full).collect()} == linked
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """No step of near deduplication holds the steps before it again: their plans are what the driver's memory goes to."""
+    texts = [(i, " ".join(f"f{i % 7}_{k}" for k in range(30)) + f" own{i}") for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sizes = {}
+
+    def watched(df, name, *rest):
+        sizes[name] = max(sizes.get(name, 0), len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return materialise(df, name, *rest)
+
+    for module in (neardup, components):
+        monkeypatch.setattr(module, "materialise", watched)
+    found = neardup.near_duplicates(docs)
+    assert {r.doc_id: r.component_id for r in found.collect()} == _components(texts)
+    assert max(sizes.values()) <= 60, sizes
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Links that already lead to the smallest node are joined with nothing; others end right."""
+    joins = []
+
+    def watched(df, name, *rest):
+        joins.append("Join" in df._jdf.queryExecution().optimizedPlan().toString())
+        return materialise(df, name, *rest)
+
+    monkeypatch.setattr(components, "materialise", watched)
+    star = spark.createDataFrame([(1, 2), (3, 1), (5, 9), (9, 5), (4, 4)], "a long, b long")
+    assert {tuple(r) for r in components.components(star).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (9, 5)}
+    assert joins and not any(joins)
+    line = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(60, 50), (60, 55)], "a long, b long")
+    expected = {(i, 1) for i in range(1, 41)} | {(50, 50), (55, 50), (60, 50)}
+    assert {tuple(r) for r in components.components(line).collect()} == expected
+    assert components.components(line.where("false")).collect() == []
