@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelmill.llm.components import components
-from panelmill.llm.scan import Scanner, shingle_sets
+from panelmill.llm.scan import Scanner, shingle_sets, slices
 from panelmill.session import materialise, release
 
 #: Retained values of a sketch, and how many of them two linked sets share at least. Of the K smallest
@@ -29,6 +29,8 @@ MET = 2
 LIKELY = 52
 #: Retained values in which a pair has to agree before its sketches are compared.
 AGREE = 2
+#: Bytes of text whose sets a task holds at once.
+SLICE = 1 << 18
 
 
 def _sets(sketch: int | None):
@@ -36,20 +38,17 @@ def _sets(sketch: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(seed=9, lower=True)
-        for batch in batches:
-            step = 1000
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                _, sets = shingle_sets(scanner, part.column(1))
-                kept = [s if sketch is None or len(s) <= WHOLE and sketch else s[:sketch] for s in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
-                values = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                ], names=["id", "n", "set_id", "hashes"])
+        for part in (part for batch in batches for part in slices(batch, 1, SLICE)):
+            _, sets = shingle_sets(scanner, part.column(1))
+            kept = [s if sketch is None or len(s) <= WHOLE and sketch else s[:sketch] for s in sets]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
+            values = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([
+                part.column(0),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+            ], names=["id", "n", "set_id", "hashes"])
 
     return run
 

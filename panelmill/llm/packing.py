@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelmill.llm.ranks import ranked
-from panelmill.llm.scan import flat
+from panelmill.llm.scan import flat, slices
 from panelmill.session import materialise
 
 SEQUENCE = 2048
@@ -22,6 +22,8 @@ END = 1
 UNIT = 4
 #: Words whose ids a task remembers before it forgets those that it has not met since the last time.
 REMEMBERED = 500_000
+#: Bytes of text whose ids a task holds at once.
+SLICE = 1 << 20
 #: Words encoded in one call, and punctuation that may end a word (no apostrophe).
 TOGETHER = 200
 ENDS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -141,13 +143,13 @@ class WordTokens:
         if len(self.known) > REMEMBERED:
             self.old, self.known = self.known, {b"": b""}
         known = self.known
-        new = words - known.keys()
+        new = {w for w in words if w not in known}  # `-` would walk through all known words
         if self.old:
             met = new & self.old.keys()
             known.update((w, self.old[w]) for w in met)
             new -= met
         parts = {w: self._parts(w) for w in new}
-        stems = {p for both in parts.values() for p in both} - known.keys()
+        stems = {p for both in parts.values() for p in both if p not in known}
         if self.old:
             met = stems & self.old.keys()
             known.update((w, self.old[w]) for w in met)
@@ -174,22 +176,20 @@ def _pieces(tokenizer: str):
 
         encode = WordTokens(Tokenizer.from_str(tokenizer), Ranks.of(tokenizer))
         end = np.array([END], np.uint32).tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE)):
             data, rows = flat(batch.column(1))
-            for at in range(0, batch.num_rows, 1000):
-                owner, start, total, ids = [], [], [], []
-                some = range(at, min(at + 1000, batch.num_rows))
-                for i, whole in zip(some, encode([data[rows[i]:rows[i + 1]].tobytes() for i in some])):
-                    whole += end
-                    for a in range(0, len(whole), 4 * SEQUENCE):
-                        owner.append(i)
-                        start.append(a // 4)
-                        total.append(len(whole) // 4)
-                        ids.append(whole[a:a + 4 * SEQUENCE])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary()),
-                ], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+            owner, start, total, ids = [], [], [], []
+            for i, whole in enumerate(encode([data[a:b].tobytes() for a, b in zip(rows[:-1], rows[1:])])):
+                whole += end
+                for a in range(0, len(whole), 4 * SEQUENCE):
+                    owner.append(i)
+                    start.append(a // 4)
+                    total.append(len(whole) // 4)
+                    ids.append(whole[a:a + 4 * SEQUENCE])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()),
+                pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary()),
+            ], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     return run
 

@@ -3,9 +3,11 @@
 from itertools import combinations
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from panelmill.llm import components, neardup
+from panelmill.llm import components, neardup, packing
 from panelmill.session import materialise
 
 
@@ -122,3 +124,15 @@ def test_components_of_stars_take_no_round(spark, monkeypatch):
     expected = {(i, 1) for i in range(1, 41)} | {(50, 50), (55, 50), (60, 50)}
     assert {tuple(r) for r in components.components(line).collect()} == expected
     assert components.components(line.where("false")).collect() == []
+
+
+def test_texts_are_worked_off_by_bytes(monkeypatch):
+    """However many rows a batch has, sets and tokens are made of a slice of its texts at a time, and of all of them."""
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    texts = [f"row {i} " * 50 for i in range(300)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(302)), pa.array(texts)], names=["id", "text"])
+    for module, run, name in ((neardup, neardup._sets(neardup.K), "id"), (packing, packing._pieces(spec), "doc_id")):
+        monkeypatch.setattr(module, "SLICE", 4000, raising=False)
+        out = list(run(iter([batch])))
+        assert [i for part in out for i in part.column(name).to_pylist()] == list(range(302))
+        assert max(part.num_rows for part in out) <= 12
